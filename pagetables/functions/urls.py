@@ -1,4 +1,7 @@
-"""URL checks and resolution as Column expressions."""
+"""URL checks and resolution as Column expressions.
+
+Values that are used more than once are bound with let(), so the trees stay small.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ _HOST = r"""(?:[^\x00-\x20/?#\\@:<>^|"`{}\[\]]+|\[[0-9a-fA-F:.]+\])"""
 _SPECIAL_URL = (
     rf"^(?i:https?|wss?|ftp):[/\\]*(?:[^/?#\\@]*@)*{_HOST}(?::[0-9]{{0,5}})?(?:[/?#\\][\s\S]*)?$"
 )
+_OTHER_URL = r"^(?!(?i:https?|wss?|ftp):)[a-zA-Z][a-zA-Z0-9+.\-]*:"
+_ABSOLUTE_URL = rf"{_SPECIAL_URL}|{_OTHER_URL}"
 _EDGE_SPACE = r"^[\x00-\x20]+|[\x00-\x20]+$"
 _UNSAFE_RUN = r"""[^\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7a\x7c\x7e]+"""
 _RUNS = rf"""{_UNSAFE_RUN}|[\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7a\x7c\x7e]+"""
@@ -18,25 +23,27 @@ _RUNS = rf"""{_UNSAFE_RUN}|[\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7a\x7c\x7e]+"""
 
 def is_url(col) -> Column:
     """Would a browser accept it as an absolute URL?"""
-    u = F.regexp_replace(col, _EDGE_SPACE, "")
-    return F.when(u.rlike(_SPECIAL), u.rlike(_SPECIAL_URL)).otherwise(u.rlike(_SCHEME))
+    return F.regexp_replace(col, _EDGE_SPACE, "").rlike(_ABSOLUTE_URL)
 
 
-def percent_encode(col) -> Column:
+def percent_encode(col: Column) -> Column:
     """Escape spaces, quotes, angle brackets, braces, backquotes and all non-ASCII."""
-    runs = F.regexp_extract_all(col, F.lit(_RUNS), F.lit(0))
-    encoded = F.transform(
-        runs,
-        lambda r: F.when(
-            r.rlike(rf"^{_UNSAFE_RUN}$"), F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))
-        ).otherwise(r),
-    )
-    return F.when(col.rlike(_UNSAFE_RUN),
-                  F.array_join(encoded, "")).otherwise(col)
-
-
-def _without_dots(path: Column) -> Column:
+    def encode(text):
+        encoded = F.transform(
+            F.regexp_extract_all(text, F.lit(_RUNS), F.lit(0)),
+            lambda r: F.when(
+                r.rlike(rf"^{_UNSAFE_RUN}$"), F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))
+            ).otherwise(r),
+        )
+        return F.when(text.rlike(_UNSAFE_RUN), F.array_join(encoded, "")).otherwise(text)
+
+    return let(col, encode)
+
+
+def without_dots(col: Column) -> Column:
     """Resolve . and .. in an absolute path."""
+    none = F.array().cast("array<string>")
+
     def fold(kept, part):
         return (
             F.when(part == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
@@ -44,63 +51,54 @@ def _without_dots(path: Column) -> Column:
             .otherwise(F.concat(kept, F.array(part)))
         )
 
-    def resolve(parts):
-        start = F.array().cast("array<string>")
-        kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, fold)
-        last = F.get(parts, F.size(parts) - 1)
-        tail = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(start)
-        return F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
-
-    has_dots = path.rlike(r"(?:^|/)\.\.?(?:/|$)")
-    return F.when(has_dots, let(F.split(path, "/"), resolve)).otherwise(path)
-
-
-def _base_parts(base: Column) -> Column:
-    scheme = F.lower(F.regexp_extract(base, r"^\s*([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
-    authority = F.lower(F.regexp_extract(base, r"^[^:]+://([^/?#]*)", 1))
-    default_port = F.when(scheme == "http", ":80$").when(scheme == "https", ":443$")
-    path = F.regexp_extract(base, r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    return F.struct(
-        F.concat(
-            scheme, F.lit("://"),
-            F.regexp_replace(authority, F.coalesce(default_port, F.lit("$^")), F.lit("")),
-        ).alias("origin"),
-        _without_dots(percent_encode(F.coalesce(non_empty(path), F.lit("/")))).alias("path"),
-        percent_encode(F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)).alias("query"),
-    )
-
-
-def resolve_url(url, base) -> Column:
-    """A relative URL on a base URL; null if the base is none."""
-    rel = F.regexp_replace(F.regexp_replace(url, _EDGE_SPACE, ""), r"[\t\n\r]", "")
-
-    def join(x):
-        b, r = x["base"], x["rel"]
+    def resolve(path):
+        kept = F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), none, fold)
+        tail = F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(none)
+        joined = F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
+        return F.when(path.rlike(r"/\.\.?(?:/|$)"), joined).otherwise(path)
+
+    return let(col, resolve)
+
+
+def url_base(url) -> Column:
+    """STRUCT origin, path, query of a base URL, in standard spelling; null if it is none."""
+    def parts(u):
+        authority = F.lower(F.regexp_extract(u, r"^([^:]+://[^/?#]*)", 1))
+        path = F.coalesce(non_empty(F.regexp_extract(u, r"^[^:]+://[^/?#]*([^?#]*)", 1)), F.lit("/"))
+        return F.when(
+            is_url(u) & u.contains("://"),
+            F.struct(
+                F.regexp_replace(authority, r"^(http://[\s\S]*):80$|^(https://[\s\S]*):443$", "$1$2")
+                .alias("origin"),
+                without_dots(percent_encode(path)).alias("path"),
+                percent_encode(F.regexp_extract(u, r"^[^?#]*(\?[^#]*)", 1)).alias("query"),
+            ),
+        )
+
+    return let(F.regexp_replace(url, _EDGE_SPACE, ""), parts)
+
+
+def resolve_url(url, base: Column) -> Column:
+    """A relative URL on a base (see url_base); null if the base is null."""
+    def join(r):
         path = F.regexp_extract(r, r"^[^?#]*", 0)
         rest = percent_encode(F.regexp_extract(r, r"^[^?#]*([\s\S]*)$", 1))
-        folder = F.regexp_extract(b["path"], r"^(.*/)", 1)
+        folder = F.regexp_extract(base["path"], r"^(.*/)", 1)
+        full = F.when(path.startswith("/"), path).when(path == "", base["path"]).otherwise(
+            F.concat(folder, path)
+        )
+        query = F.when(r.rlike("^(?:#|$)"), base["query"]).otherwise("")
+        resolved = F.concat(base["origin"], without_dots(percent_encode(full)), query, rest)
+        absolute = let(
+            url_base(r),
+            lambda b: F.concat(
+                b["origin"], b["path"], b["query"],
+                percent_encode(F.regexp_extract(r, r"(#[\s\S]*)$", 1)),
+            ),
+        )
         return (
-            F.when(r == "", F.concat(b["origin"], b["path"], b["query"]))
-            .when(r.rlike(_SPECIAL), F.when(is_url(r), _normal(r)))
-            .when(r.rlike(_SCHEME), r)
-            .when(r.startswith("?"), F.concat(b["origin"], b["path"], rest))
-            .when(r.startswith("#"), F.concat(b["origin"], b["path"], b["query"], rest))
-            .when(
-                r.startswith("/"),
-                F.concat(b["origin"], _without_dots(percent_encode(path)), rest),
-            )
-            .otherwise(
-                F.concat(b["origin"], _without_dots(F.concat(folder, percent_encode(path))), rest)
-            )
+            F.when(r.rlike(_SPECIAL), absolute).when(r.rlike(_SCHEME), r).otherwise(resolved)
         )
 
-    usable = is_url(base) & F.coalesce(base, F.lit("")).contains("://")
-    pair = F.struct(_base_parts(base).alias("base"), rel.alias("rel"))
-    return F.when(usable, let(pair, join))
-
-
-def _normal(url: Column) -> Column:
-    """An absolute URL in its standard spelling."""
-    b = _base_parts(url)
-    fragment = percent_encode(F.regexp_extract(url, r"(#[\s\S]*)$", 1))
-    return let(b, lambda x: F.concat(x["origin"], x["path"], x["query"], fragment))
+    cleaned = F.regexp_replace(F.regexp_replace(url, _EDGE_SPACE, ""), r"[\t\n\r]", "")
+    return F.when(base.isNotNull(), let(cleaned, join))

@@ -7,7 +7,7 @@ written as null.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import number_text
+from .text import let
 
 
 def field(value: Column, *path: str) -> Column:
@@ -25,50 +25,63 @@ def as_text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
+# How the JSON text of each kind of value begins.
+_BEGINS = {
+    "string": '"', "number": "[-0-9]", "boolean": "[tf]", "array": r"\[", "object": r"\{",
+    "null": "n",
+}
+
+
+def frag_is(frag: Column, *kinds: str) -> Column:
+    """Is a fragment a string, number, boolean, array, object or null?  False if absent."""
+    begins = "|".join(_BEGINS[k] for k in kinds)
+    return F.coalesce(frag.rlike(f"^(?:{begins})"), F.lit(False))
+
+
 def is_kind(value: Column, *kinds: str) -> Column:
-    """Is it one of string, number, boolean, array, object, null?  False if absent."""
-    names = {
-        "string": "STRING", "number": "BIGINT|DECIMAL|DOUBLE|FLOAT", "boolean": "BOOLEAN",
-        "array": "ARRAY", "object": "OBJECT", "null": "VOID",
-    }
-    pattern = "^(?:" + "|".join(names[k] for k in kinds) + ")"
-    return F.coalesce(F.schema_of_variant(value).rlike(pattern), F.lit(False))
+    return frag_is(F.to_json(value), *kinds)
 
 
 def fragment(value: Column) -> Column:
-    """JSON text of a value; numbers as scripts print them."""
-    number = number_text(F.try_variant_get(value, "$", "double"))
-    return F.when(is_kind(value, "number"), number).otherwise(F.to_json(value))
+    """JSON text of a value; SQL null if absent."""
+    return F.to_json(value)
 
 
-def is_set(value: Column) -> Column:
+_UNSET = r'^(?:null|""|false|-?0(?:\.0*)?(?:E.*)?)$'
+
+
+def frag_is_set(frag: Column) -> Column:
     """Neither absent, null, '', 0 nor false."""
-    empty = F.to_json(value).isin("null", '""', "false") | (
-        is_kind(value, "number") & (F.try_variant_get(value, "$", "double") == 0)
-    )
-    return value.isNotNull() & ~F.coalesce(empty, F.lit(False))
+    return F.coalesce(~frag.rlike(_UNSET), F.lit(False))
 
 
-def if_set(value: Column, then: Column | None = None) -> Column:
-    """Fragment of a value that is set, or `then`; SQL null otherwise."""
-    return F.when(is_set(value), fragment(value) if then is None else then)
+def is_set(value: Column) -> Column:
+    return frag_is_set(F.to_json(value))
+
+
+def if_set(value: Column, then=None) -> Column:
+    """Fragment of a value that is set, or what `then` makes of it; SQL null otherwise."""
+    return let(
+        F.to_json(value), lambda f: F.when(frag_is_set(f), f if then is None else then(f))
+    )
 
 
 def text_of(value: Column) -> Column:
     """What a script gets when it turns the value into text; null if absent or null."""
-    joined = F.regexp_replace(F.to_json(value), r'[\[\]"]', "")
-    return (
-        F.when(is_kind(value, "number"), number_text(F.try_variant_get(value, "$", "double")))
-        .when(is_kind(value, "array"), joined)
-        .when(is_kind(value, "object"), F.lit("[object Object]"))
-        .otherwise(as_text(value))
-    )
+    def spell(f):
+        return (
+            F.when(frag_is(f, "string"), as_text(value))
+            .when(frag_is(f, "array"), F.regexp_replace(f, r'[\[\]"]', ""))
+            .when(frag_is(f, "object"), F.lit("[object Object]"))
+            .when(f != "null", f)
+        )
+
+    return let(F.to_json(value), spell)
 
 
 def quoted(text: Column) -> Column:
-    """A text as a JSON string; SQL null stays."""
-    body = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(body, F.lit(2), F.length(body) - 2))
+    """A text as a JSON string; SQL null becomes the fragment null."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"^\[([\s\S]*)\]$", 1)
 
 
 def or_null(frag: Column) -> Column:
@@ -76,10 +89,14 @@ def or_null(frag: Column) -> Column:
     return F.coalesce(frag, F.lit("null"))
 
 
+def entry_list(entries: list[tuple[str, Column]]) -> Column:
+    """ARRAY of `"key":fragment`, null where the fragment is absent."""
+    return F.array(*[F.concat(F.lit(f'"{key}":'), frag) for key, frag in entries])
+
+
 def json_object(*entries: tuple[str, Column]) -> Column:
     """JSON object of the entries that are not absent, in order."""
-    parts = [F.concat(F.lit(f'"{key}":'), frag) for key, frag in entries]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    return F.concat(F.lit("{"), F.concat_ws(",", entry_list(list(entries))), F.lit("}"))
 
 
 def json_array(frags: Column) -> Column:

@@ -3,63 +3,91 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.repair import price_message, repair_date, repair_price, repair_url
-from ..functions.text import number_text
+from ..functions.repair import price_message, repair_date, repair_price, repair_url_on
+from ..functions.text import let, number_text
+from ..functions.urls import url_base
 from ..functions.variants import (
-    as_text, elements, field, fragment, if_set, is_kind, is_set, json_array, json_object,
-    or_null, pretty_json, quoted, text_of,
+    as_text, elements, entry_list, field, frag_is, fragment, if_set, is_kind, is_set,
+    json_array, json_object, or_null, pretty_json, quoted, text_of,
 )
 
 SEARCH_INPUT = "required name=search_term_string"
 
 
+# Top-level fields repaired as URLs and as dates.
+_URL_FIELDS = ["url", "logo", "thumbnailUrl", "contentUrl", "embedUrl"]
+_NESTED_URLS = [("author", "url"), ("publisher", "logoUrl")]
+_DATE_FIELDS = ["datePublished", "dateModified", "uploadDate"]
+_URLS = [(k,) for k in _URL_FIELDS] + _NESTED_URLS
+
+
+def with_repairs(entity_rows: DataFrame) -> DataFrame:
+    """+ base, urls, dates: the page URL taken apart, and every single URL and date of the
+    entity repaired, each kind by one expression over an array."""
+    raw, base = F.col("raw"), F.col("base")
+    texts = F.array(*[_string(field(raw, *path)) for path in _URLS])
+    days = F.array(*[_day(field(raw, k)) for k in _DATE_FIELDS])
+    return entity_rows.withColumn("base", url_base("page_url")).withColumns({
+        "urls": F.transform(texts, lambda u: repair_url_on(u, base)),
+        "dates": F.transform(days, repair_date),
+    })
+
+
+def _string(value: Column) -> Column:
+    """The text of a JSON string; anything else has none."""
+    return F.when(is_kind(value, "string"), as_text(value))
+
+
+def _day(value: Column) -> Column:
+    """A date's text; a number counts milliseconds."""
+    millis = F.timestamp_millis(F.try_variant_get(value, "$", "double").cast("long"))
+    return let(F.to_json(value), lambda f: F.when(
+        frag_is(f, "number"), F.date_format(millis, "yyyy-MM-dd")
+    ).when(f == "true", F.lit("1970-01-01")).when(frag_is(f, "string"), as_text(value)))
+
+
 def _typed(name: str) -> tuple[str, Column]:
     return ("@type", F.lit(f'"{name}"'))
 
 
-def _url(value: Column, base: Column) -> Column:
-    """Fragment of the repaired URL, or absent; anything but a text has none."""
-    return quoted(F.when(is_kind(value, "string"), repair_url(as_text(value), base)))
+def _url(*path: str) -> Column:
+    """Fragment of a URL from `urls`; null if there is none."""
+    return quoted(F.get("urls", F.lit(_URLS.index(path))))
 
 
-def _url_if_set(value: Column, base: Column) -> Column:
-    return if_set(value, or_null(_url(value, base)))
+def _url_if_set(raw: Column, *path: str) -> Column:
+    return F.when(is_set(field(raw, *path)), _url(*path))
 
 
-def _number(value: Column) -> Column:
-    return number_text(repair_price(text_of(value)))
+def _date_if_set(raw: Column, key: str) -> Column:
+    day = F.get("dates", F.lit(_DATE_FIELDS.index(key)))
+    return if_set(
+        field(raw, key), lambda f: F.when(day.isNotNull(), quoted(day)).otherwise(f)
+    )
 
 
-def _date_if_set(value: Column) -> Column:
-    millis = F.try_variant_get(value, "$", "double").cast("long")
-    moment = F.when(is_kind(value, "number"), F.timestamp_millis(millis))
-    moment = F.when(is_kind(value, "boolean"), F.timestamp_millis(F.lit(1))).otherwise(moment)
-    day = F.coalesce(
-        F.date_format(moment, "yyyy-MM-dd"),
-        F.when(is_kind(value, "string"), repair_date(as_text(value))),
-    )
-    return if_set(value, F.coalesce(quoted(day), fragment(value)))
+def _number(value: Column) -> Column:
+    return number_text(repair_price(text_of(value)))
 
 
 def _filled(value: Column) -> Column:
     """A list with elements."""
-    return is_kind(value, "array") & (F.size(elements(value)) > 0)
+    return F.size(F.coalesce(elements(value), F.array().cast("array<variant>"))) > 0
 
 
-def _images(value: Column, base: Column) -> Column:
-    urls = F.filter(
-        F.transform(elements(value), lambda x: _url(x, base)), lambda u: u.isNotNull()
-    )
-    return F.when(_filled(value), json_array(urls))
+def _images(value: Column) -> Column:
+    urls = F.transform(elements(value), lambda x: repair_url_on(_string(x), F.col("base")))
+    kept = F.filter(urls, lambda u: u.isNotNull())
+    return F.when(_filled(value), json_array(F.transform(kept, quoted)))
 
 
-def base_json_ld(raw: Column, base: Column) -> list[tuple[str, Column]]:
+def base_json_ld(raw: Column) -> list[tuple[str, Column]]:
     return [
         ("@context", F.lit('"https://schema.org"')),
         ("@type", fragment(field(raw, "@type"))),
         ("name", if_set(field(raw, "name"))),
         ("description", if_set(field(raw, "description"))),
-        ("url", _url_if_set(field(raw, "url"), base)),
+        ("url", _url_if_set(raw, "url")),
     ]
 
 
@@ -84,8 +112,8 @@ def product_brand(raw: Column) -> Column:
     as_list = F.concat(F.lit("{"), F.concat_ws(",", indexed, F.array(typed)), F.lit("}"))
     return if_set(
         brand,
-        F.when(is_kind(brand, "object"), as_object)
-        .when(is_kind(brand, "string", "array"), as_list)
+        lambda f: F.when(frag_is(f, "object"), as_object)
+        .when(frag_is(f, "string", "array"), as_list)
         .otherwise(F.lit('{"@type":"Brand"}')),
     )
 
@@ -93,81 +121,87 @@ def product_brand(raw: Column) -> Column:
 def product_rating(raw: Column) -> Column:
     rating = field(raw, "aggregateRating")
 
-    def with_default(key, default):
-        found = repair_price(text_of(field(rating, key)))
-        return number_text(F.when(found != 0, found).otherwise(F.lit(float(default))))
+    keys = ["ratingValue", "reviewCount", "bestRating", "worstRating"]
+    texts = F.array(*[text_of(field(rating, k)) for k in keys])
 
-    return if_set(rating, json_object(
-        _typed("AggregateRating"),
-        ("ratingValue", or_null(_number(field(rating, "ratingValue")))),
-        ("reviewCount", or_null(_number(field(rating, "reviewCount")))),
-        ("bestRating", with_default("bestRating", 5)),
-        ("worstRating", with_default("worstRating", 1)),
-    ))
+    def build(n):
+        def with_default(k, default):
+            return F.coalesce(F.nullif(F.get(n, F.lit(k)), F.lit("0")), F.lit(str(default)))
+
+        return json_object(
+            _typed("AggregateRating"),
+            ("ratingValue", or_null(F.get(n, F.lit(0)))),
+            ("reviewCount", or_null(F.get(n, F.lit(1)))),
+            ("bestRating", with_default(2, 5)),
+            ("worstRating", with_default(3, 1)),
+        )
+
+    numbers = F.transform(texts, lambda t: number_text(repair_price(t)))
+    return F.when(is_set(rating), let(numbers, build))
 
 
 def _offer_list(raw: Column) -> Column:
     """One or many offers as a list, without the empty ones."""
     offers = field(raw, "offers")
-    many = F.when(is_kind(offers, "array"), elements(offers)).otherwise(F.array(offers))
-    return F.filter(many, is_set)
+    return F.filter(F.coalesce(elements(offers), F.array(offers)), is_set)
 
 
-def product_offers(raw: Column, base: Column) -> Column:
+def product_offers(raw: Column) -> Column:
     def one(offer):
+        url = field(offer, "url")
         return json_object(
             _typed("Offer"),
             ("price", _number(field(offer, "price"))),
             ("priceCurrency", if_set(field(offer, "priceCurrency"))),
             ("availability", if_set(field(offer, "availability"))),
-            ("url", _url_if_set(field(offer, "url"), base)),
+            ("url", if_set(url, lambda f: quoted(repair_url_on(_string(url), F.col("base"))))),
         )
 
-    return if_set(field(raw, "offers"), json_array(F.transform(_offer_list(raw), one)))
+    return F.when(is_set(field(raw, "offers")), json_array(F.transform(_offer_list(raw), one)))
 
 
 def price_repairs(raw: Column) -> Column:
     """ARRAY of messages, one per offer whose price text had to be cleaned."""
     def message(offer):
         text = text_of(field(offer, "price"))
-        return price_message(text, repair_price(text))
+        return let(text, lambda t: price_message(t, repair_price(t)))
 
     found = F.filter(F.transform(_offer_list(raw), message), lambda m: m.isNotNull())
     none = F.array().cast("array<string>")
     return F.when(is_set(field(raw, "offers")), found).otherwise(none)
 
 
-def product_json_ld(raw: Column, base: Column) -> list[tuple[str, Column]]:
+def product_json_ld(raw: Column) -> list[tuple[str, Column]]:
     return [
-        ("image", _images(field(raw, "image"), base)),
+        ("image", _images(field(raw, "image"))),
         ("brand", product_brand(raw)),
         ("sku", if_set(field(raw, "sku"))),
         ("gtin", if_set(field(raw, "gtin"))),
         ("aggregateRating", product_rating(raw)),
-        ("offers", product_offers(raw, base)),
+        ("offers", product_offers(raw)),
     ]
 
 
-def organization_json_ld(raw: Column, base: Column) -> list[tuple[str, Column]]:
-    same_as = field(raw, "sameAs")
-    has_any = _filled(same_as) | (is_kind(same_as, "string") & is_set(same_as))
-    return [
-        ("logo", _url_if_set(field(raw, "logo"), base)),
-        ("sameAs", F.when(has_any, fragment(same_as))),
-    ]
+def organization_json_ld(raw: Column) -> list[tuple[str, Column]]:
+    lists = if_set(
+        field(raw, "sameAs"),
+        lambda f: F.when(frag_is(f, "string", "array") & (f != "[]"), f),
+    )
+    return [("logo", _url_if_set(raw, "logo")), ("sameAs", lists)]
 
 
-def website_json_ld(raw: Column, base: Column) -> list[tuple[str, Column]]:
-    action = field(raw, "potentialAction")
-    target = field(action, "target")
-    query = F.coalesce(if_set(field(action, "queryInput")), F.lit(f'"{SEARCH_INPUT}"'))
-    search = json_object(
-        _typed("SearchAction"), ("target", fragment(target)), ("query-input", query)
+def website_json_ld(raw: Column) -> list[tuple[str, Column]]:
+    action = "potentialAction"
+    query = F.coalesce(
+        if_set(field(raw, action, "queryInput")), F.lit(f'"{SEARCH_INPUT}"')
     )
-    return [("potentialAction", if_set(target, search))]
+    search = if_set(field(raw, action, "target"), lambda f: json_object(
+        _typed("SearchAction"), ("target", f), ("query-input", query)
+    ))
+    return [(action, search)]
 
 
-def itemlist_json_ld(raw: Column, base: Column) -> list[tuple[str, Column]]:
+def itemlist_json_ld(raw: Column) -> list[tuple[str, Column]]:
     count, items = field(raw, "numberOfItems"), field(raw, "itemListElement")
 
     def one(item, n):
@@ -175,48 +209,46 @@ def itemlist_json_ld(raw: Column, base: Column) -> list[tuple[str, Column]]:
         return json_object(
             _typed("ListItem"),
             ("position", F.coalesce(own, (n + 1).cast("string"))),
-            ("url", or_null(_url(field(item, "url"), base))),
+            ("url", quoted(repair_url_on(_string(field(item, "url")), F.col("base")))),
             ("name", fragment(field(item, "name"))),
         )
 
     return [
-        ("numberOfItems", if_set(count, or_null(_number(count)))),
+        ("numberOfItems", F.when(is_set(count), or_null(_number(count)))),
         ("itemListElement", F.when(
             _filled(items), json_array(F.transform(elements(items), one))
         )),
     ]
 
 
-def article_json_ld(raw: Column, base: Column) -> list[tuple[str, Column]]:
-    author, publisher = field(raw, "author"), field(raw, "publisher")
-    author_type = F.coalesce(if_set(field(author, "type")), F.lit('"Person"'))
-    logo = field(publisher, "logoUrl")
-    logo_object = json_object(_typed("ImageObject"), ("url", or_null(_url(logo, base))))
+def article_json_ld(raw: Column) -> list[tuple[str, Column]]:
+    author_type = F.coalesce(if_set(field(raw, "author", "type")), F.lit('"Person"'))
+    logo_object = json_object(_typed("ImageObject"), ("url", _url("publisher", "logoUrl")))
     return [
         ("headline", if_set(field(raw, "headline"))),
-        ("image", _images(field(raw, "image"), base)),
-        ("author", if_set(author, json_object(
+        ("image", _images(field(raw, "image"))),
+        ("author", F.when(is_set(field(raw, "author")), json_object(
             ("@type", author_type),
-            ("name", fragment(field(author, "name"))),
-            ("url", or_null(_url(field(author, "url"), base))),
+            ("name", fragment(field(raw, "author", "name"))),
+            ("url", _url("author", "url")),
         ))),
-        ("publisher", if_set(publisher, json_object(
+        ("publisher", F.when(is_set(field(raw, "publisher")), json_object(
             _typed("Organization"),
-            ("name", fragment(field(publisher, "name"))),
-            ("logo", if_set(logo, logo_object)),
+            ("name", fragment(field(raw, "publisher", "name"))),
+            ("logo", F.when(is_set(field(raw, "publisher", "logoUrl")), logo_object)),
         ))),
-        ("datePublished", _date_if_set(field(raw, "datePublished"))),
-        ("dateModified", _date_if_set(field(raw, "dateModified"))),
+        ("datePublished", _date_if_set(raw, "datePublished")),
+        ("dateModified", _date_if_set(raw, "dateModified")),
     ]
 
 
-def video_json_ld(raw: Column, base: Column) -> list[tuple[str, Column]]:
+def video_json_ld(raw: Column) -> list[tuple[str, Column]]:
     return [
-        ("thumbnailUrl", _url_if_set(field(raw, "thumbnailUrl"), base)),
-        ("uploadDate", _date_if_set(field(raw, "uploadDate"))),
+        ("thumbnailUrl", _url_if_set(raw, "thumbnailUrl")),
+        ("uploadDate", _date_if_set(raw, "uploadDate")),
         ("duration", if_set(field(raw, "duration"))),
-        ("contentUrl", _url_if_set(field(raw, "contentUrl"), base)),
-        ("embedUrl", _url_if_set(field(raw, "embedUrl"), base)),
+        ("contentUrl", _url_if_set(raw, "contentUrl")),
+        ("embedUrl", _url_if_set(raw, "embedUrl")),
     ]
 
 
@@ -230,15 +262,16 @@ BUILDERS = {
 }
 
 
-def build_json_ld(raw: Column, kind: Column, base: Column) -> Column:
-    """JSON-LD text; types without a builder get the base keys only."""
-    common = base_json_ld(raw, base)
-    text = None
+def build_json_ld(raw: Column, kind: Column) -> Column:
+    """JSON-LD text, on rows with repairs; types without a builder get the base keys only."""
+    own = None
     for types, builder in BUILDERS.items():
-        built = json_object(*common, *builder(raw, base))
+        entries = entry_list(builder(raw))
         case = kind.isin(*types)
-        text = F.when(case, built) if text is None else text.when(case, built)
-    return text.otherwise(json_object(*common))
+        own = F.when(case, entries) if own is None else own.when(case, entries)
+    return F.concat(
+        F.lit("{"), F.concat_ws(",", entry_list(base_json_ld(raw)), own), F.lit("}")
+    )
 
 
 def build_error(raw: Column, kind: Column) -> Column:

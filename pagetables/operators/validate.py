@@ -7,7 +7,7 @@ from ..functions import fixed
 from ..functions.urls import is_url
 from ..functions.variants import as_text, field, is_kind
 from .contracts import entities
-from .jsonld import build_error, build_json_ld, price_repairs
+from .jsonld import build_error, build_json_ld, price_repairs, with_repairs
 
 OK, BAD_REQUEST, UNPROCESSABLE, SERVER_ERROR = 200, 400, 422, 500
 
@@ -59,11 +59,11 @@ def validate(entity_rows: DataFrame) -> DataFrame:
     )
     accepted = F.col("accepted")
     none = F.array().cast("array<string>")
-    return rows.withColumns({
+    return with_repairs(rows).withColumns({
         "entity_error": F.when(accepted, build_error(raw, kind)),
-        "json_ld": F.when(accepted, build_json_ld(raw, kind, F.col("page_url"))),
+        "json_ld": F.when(accepted, build_json_ld(raw, kind)),
         "repairs": F.when(accepted & (kind == "Product"), price_repairs(raw)).otherwise(none),
-    })
+    }).drop("base", "urls", "dates")
 
 
 def accepted_entities(validated: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def page_outcomes(pages: DataFrame, validation: DataFrame) -> DataFrame:
         status = F.col("status_reason")
     error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
     fetched = gated.select(
-        "page_id", "url_reason", F.coalesce("url_reason", status).alias("fetch_reason"),
+        "page_id", F.coalesce("url_reason", status).alias("fetch_reason"),
         error.alias("server_error"), F.col("html").isNull().alias("no_html"),
     )
     v = validation.select(
@@ -183,7 +183,7 @@ def page_outcomes(pages: DataFrame, validation: DataFrame) -> DataFrame:
     joined = fetched.join(v, "page_id", "left")
     missing = F.col("extracted").isNull()
     stage = (
-        F.when(F.col("server_error").isNotNull() | F.col("url_reason").isNotNull(), "api")
+        F.when(F.col("server_error").isNotNull(), "api")
         .when(F.col("fetch_reason").isNotNull(), "ingestion")
         .when(F.col("no_html"), "cleaning")
         .when(missing, "extraction")
@@ -207,7 +207,7 @@ def outcome_code(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn(
         "code",
         F.when(F.col("success"), OK)
-        .when((F.col("stage") == "api") & refused, BAD_REQUEST)
+        .when((F.col("stage") == "ingestion") & refused, BAD_REQUEST)
         .when(F.col("stage") == "api", SERVER_ERROR)
         .otherwise(UNPROCESSABLE),
     )
