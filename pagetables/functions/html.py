@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import RAW_TEXT_TAGS
-from .text import decode_entities, let
+from .text import decode_entities, let, lookup_table
 
 # Possessive quantifiers keep the matcher from recursing on long pages.
 _ATTRS = r"""(?:[^>"'=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+"""
@@ -131,9 +131,7 @@ def selector_rank(selectors: list[str], tag: Column, attrs: Column) -> Column:
             others.append((rank, selector))
 
     def lookup(ranks, key):
-        return F.try_element_at(
-            F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]), key
-        )
+        return F.try_element_at(lookup_table(ranks, "int"), key)
 
     found = []
     if tags:

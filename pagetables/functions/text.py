@@ -1,5 +1,6 @@
 """Text helpers as Column expressions."""
 
+import json
 from html import entities as _entities
 
 from pyspark.sql import Column
@@ -40,15 +41,21 @@ def token_estimate(col) -> Column:
     return F.ceil(F.length(col) / CHARS_PER_TOKEN).cast("long")
 
 
-def _string_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+def lookup_table(pairs: dict, kind: str) -> Column:
+    """A literal map; written as one JSON literal, which is folded when planning."""
+    return F.from_json(F.lit(json.dumps(pairs)), f"map<string,{kind}>")
+
+
+def word_list(words) -> Column:
+    """A literal array of words without spaces."""
+    return F.split(F.lit(" ".join(words)), " ")
 
 
 def code_point(number: Column) -> Column:
     """The character of a code point, as HTML reads numeric references."""
-    cp1252 = F.create_map(*[F.lit(x) for pair in WINDOWS_1252.items() for x in pair])
+    cp1252 = lookup_table(WINDOWS_1252, "int")
     usable = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    number = F.coalesce(F.try_element_at(cp1252, number), number)
+    number = F.coalesce(F.try_element_at(cp1252, number.cast("string")), number)
     char = F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
     return F.when(usable, char).otherwise(F.lit("\ufffd"))
 
@@ -58,8 +65,10 @@ def _reference(ref: Column, in_attribute: bool) -> Column:
     closed = ref.endswith(";")
     hexadecimal = F.conv(F.substring(body, 2, 8), 16, 10).try_cast("int")
     decimal = F.substring(body, 1, 10).try_cast("int")
-    named = F.try_element_at(_string_map(sorted(_NAMED.items())), body)
-    open_ok = F.lit(False) if in_attribute else body.isin(*_NAMED_WITHOUT_SEMICOLON)
+    named = F.try_element_at(lookup_table(_NAMED, "string"), body)
+    open_ok = F.lit(False) if in_attribute else F.array_contains(
+        word_list(_NAMED_WITHOUT_SEMICOLON), body
+    )
     return (
         F.when(~ref.startswith("&") | (ref == "&"), ref)
         .when(ref.isin("&amp;", "&AMP;"), F.lit("&"))

@@ -53,53 +53,67 @@ def _with_counts(marked: DataFrame) -> DataFrame:
     })
 
 
-def _page_arrays(marked: DataFrame, keep: tuple) -> DataFrame:
-    """Fold each page's tokens into arrays; nothing but the page's own rows meets."""
+def _page_arrays(marked: DataFrame, keep: tuple, wanted: set) -> DataFrame:
+    """Fold each page's tokens into the wanted arrays; only the page's own rows meet."""
     tag, attrs = F.col("tag"), F.col("attrs")
     opens = F.col("alive") & ~F.col("is_close")
-    is_button = selector_rank(fixed.BUTTON_SELECTORS, tag, attrs).isNotNull()
-    is_script = (tag == "script") & ~F.col("is_close")
     counts = [F.col(f"n_{k}").alias(k) for k in _COUNTED]
-    in_html = (
-        F.col("alive") & F.col("in_body")
-        & ~tag.isin("html", "head", "body", "#declaration", "#unfinished")
-        & ~((tag == "#comment") & F.col("after_body"))
-        & ~(F.col("is_close") & ~F.col("paired"))
-    )
     first_text = F.col("n_texts") - F.when(F.col("text").isNotNull(), 1).otherwise(0)
+    span = ["end", first_text.alias("text0")]
 
     def gather(condition, *columns):
         return F.sort_array(F.collect_list(F.when(condition, F.struct("i", *columns))))
 
-    span = ["end", first_text.alias("text0")]
+    def html():
+        in_html = (
+            F.col("alive") & F.col("in_body")
+            & ~tag.isin("html", "head", "body", "#declaration", "#unfinished")
+            & ~((tag == "#comment") & F.col("after_body"))
+            & ~(F.col("is_close") & ~F.col("paired"))
+        )
+        return gather(in_html, "tok")
+
+    def buttons():
+        is_button = selector_rank(fixed.BUTTON_SELECTORS, tag, attrs).isNotNull()
+        value = F.when(tag.isin("input", "button", "li", "option"), attrs["value"])
+        return gather(opens & is_button, *span, value.alias("value"))
+
+    def json_ld():
+        is_script = (tag == "script") & ~F.col("is_close")
+        return gather(
+            is_script & (F.lower(attrs["type"]) == "application/ld+json"),
+            js_trim("text").alias("json"),
+        )
+
+    arrays = {
+        "matches": lambda: gather(F.col("rank").isNotNull(), "end", "rank", "grp"),
+        "counts": lambda: gather(F.col("i").isNotNull(), *counts),
+        "texts": lambda: gather(F.col("alive") & F.col("text").isNotNull(), "text"),
+        "parts": lambda: gather(F.col("alive") & F.col("in_body"), part_array().alias("parts")),
+        "html": html,
+        "headings": lambda: gather(
+            opens & tag.isin(*HEADING_TAGS), *span,
+            F.substring("tag", 2, 1).cast("int").alias("level")),
+        "paragraphs": lambda: gather(opens & (tag == "p"), *span),
+        "lists": lambda: gather(opens & tag.isin("ul", "ol"), "end", "tag", *counts),
+        "items": lambda: gather(opens & (tag == "li"), *span),
+        "tables": lambda: gather(opens & (tag == "table"), "end", *counts),
+        "headers": lambda: gather(opens & (tag == "th"), *span),
+        "rows": lambda: gather(opens & (tag == "tr"), "end", *counts),
+        "cells": lambda: gather(opens & (tag == "td"), *span),
+        "images": lambda: gather(
+            opens & (tag == "img"), attrs["src"].alias("src"), attrs["alt"].alias("alt")),
+        "links": lambda: gather(opens & (tag == "a"), *span, attrs["href"].alias("href")),
+        "buttons": buttons,
+        "meta": lambda: gather(
+            (tag == "meta") & ~F.col("is_close"), attrs["name"].alias("name"),
+            attrs["property"].alias("property"), attrs["content"].alias("content")),
+        "json_ld": json_ld,
+    }
     return marked.groupBy("page_id").agg(
         *[F.max(k).alias(k) for k in keep],
         F.coalesce(F.sum(F.length("tok")), F.lit(0)).alias("original_length"),
-        gather(F.col("rank").isNotNull(), "end", "rank", "grp").alias("a_matches"),
-        gather(F.col("i").isNotNull(), *counts).alias("a_counts"),
-        gather(F.col("alive") & F.col("text").isNotNull(), "text").alias("a_texts"),
-        gather(F.col("alive") & F.col("in_body"), part_array().alias("parts")).alias("a_parts"),
-        gather(in_html, "tok").alias("a_html"),
-        gather(opens & tag.isin(*HEADING_TAGS), *span,
-               F.substring("tag", 2, 1).cast("int").alias("level")).alias("a_headings"),
-        gather(opens & (tag == "p"), *span).alias("a_paragraphs"),
-        gather(opens & tag.isin("ul", "ol"), "end", "tag", *counts).alias("a_lists"),
-        gather(opens & (tag == "li"), *span).alias("a_items"),
-        gather(opens & (tag == "table"), "end", *counts).alias("a_tables"),
-        gather(opens & (tag == "th"), *span).alias("a_headers"),
-        gather(opens & (tag == "tr"), "end", *counts).alias("a_rows"),
-        gather(opens & (tag == "td"), *span).alias("a_cells"),
-        gather(opens & (tag == "img"), attrs["src"].alias("src"),
-               attrs["alt"].alias("alt")).alias("a_images"),
-        gather(opens & (tag == "a"), *span, attrs["href"].alias("href")).alias("a_links"),
-        gather(opens & is_button, *span,
-               F.when(tag.isin("input", "button", "li", "option"), attrs["value"])
-               .alias("value")).alias("a_buttons"),
-        gather((tag == "meta") & ~F.col("is_close"), attrs["name"].alias("name"),
-               attrs["property"].alias("property"), attrs["content"].alias("content"),
-               ).alias("a_meta"),
-        gather(is_script & (F.lower(attrs["type"]) == "application/ld+json"),
-               js_trim("text").alias("json")).alias("a_json_ld"),
+        *[make().alias(f"a_{name}") for name, make in arrays.items() if name in wanted],
     )
 
 
@@ -249,50 +263,66 @@ def _visible_text() -> Column:
     return let(parts, join)
 
 
+# Column of the cleaning result: how it is built, and from which arrays.
+_TEXT = {"counts", "texts"}
+_CLEAN_COLUMNS = {
+    "cleaned_html": (lambda: F.array_join(F.col("a_html")["tok"], ""), {"html"}),
+    "visible_text": (_visible_text, {"parts"}),
+    "headings": (_headings, _TEXT | {"headings"}),
+    "lists": (_lists, _TEXT | {"lists", "items"}),
+    "tables": (_tables, _TEXT | {"tables", "headers", "rows", "cells"}),
+    "images": (_images, {"images"}),
+    "links": (_links, _TEXT | {"links"}),
+    "buttons": (_buttons, _TEXT | {"buttons"}),
+    "meta": (_meta, {"meta"}),
+    "paragraphs": (_paragraphs, _TEXT | {"paragraphs"}),
+    "json_ld": (_json_ld, {"json_ld"}),
+    "original_length": (lambda: F.col("original_length"), set()),
+    "removed_by_group": (lambda: count_removed(F.col("a_matches")), {"matches"}),
+}
+CLEAN_COLUMNS = list(_CLEAN_COLUMNS)
+STATS_COLUMNS = ["original_length", "cleaned_html", "visible_text", "removed_by_group"]
+COUNTED_COLUMNS = ["headings", "lists", "tables", "images", "links", "buttons", "meta"]
+DOCUMENT_COLUMNS = [
+    "meta", "json_ld", "headings", "visible_text", "tables", "images", "lists", "links",
+]
+
+
 def clean_pages(
-    pages: DataFrame, colocated: bool = False, keep: tuple = ("url",), rules=None
+    pages: DataFrame, columns: list | None = None, keep: tuple = ("url",),
+    colocated: bool = False, rules=None,
 ) -> DataFrame:
     """The cleaning result: one row per page.
 
     cleaned_html, visible_text, headings, lists, tables, images, links, buttons, meta,
     paragraphs, json_ld (blocks found on the page) and the size and removal figures.
-    Columns that are not selected are not computed.  `rules=[]` cleans nothing away.
+    Name `columns` to plan only those.  `rules=[]` cleans nothing away.
     """
-    arrays = _page_arrays(_with_counts(mark_removed(tree(pages, colocated, keep), rules)), keep)
-    built = arrays.select(
-        "page_id", *keep,
-        F.array_join(F.col("a_html")["tok"], "").alias("cleaned_html"),
-        _visible_text().alias("visible_text"),
-        _headings().alias("headings"),
-        _lists().alias("lists"),
-        _tables().alias("tables"),
-        _images().alias("images"),
-        _links().alias("links"),
-        _buttons().alias("buttons"),
-        _meta().alias("meta"),
-        _paragraphs().alias("paragraphs"),
-        _json_ld().alias("json_ld"),
-        "original_length",
-        count_removed(F.col("a_matches")).alias("removed_by_group"),
-    )
-    return built
+    columns = CLEAN_COLUMNS if columns is None else columns
+    wanted = set().union(*[_CLEAN_COLUMNS[c][1] for c in columns])
+    marked = _with_counts(mark_removed(tree(pages, colocated, keep), rules))
+    arrays = _page_arrays(marked, keep, wanted)
+    return arrays.select("page_id", *keep, *[_CLEAN_COLUMNS[c][0]().alias(c) for c in columns])
+
 
+def stats_columns() -> list[tuple[str, Column]]:
+    """Size and removal figures of a cleaning result, by name."""
+    return [
+        ("original_length", F.col("original_length")),
+        ("cleaned_length", F.length("cleaned_html")),
+        ("elements_removed", F.aggregate("removed_by_group", F.lit(0), lambda a, n: a + n)),
+        ("token_estimate", token_estimate(F.col("visible_text"))),
+    ]
 
-def with_stats(clean: DataFrame) -> DataFrame:
+
+def clean_stats(clean: DataFrame) -> DataFrame:
     """(page_id, original_length, cleaned_length, elements_removed, token_estimate)."""
-    n = F.col("removed_by_group")
-    return clean.select(
-        "page_id", "original_length",
-        F.length("cleaned_html").alias("cleaned_length"),
-        (F.get(n, F.lit(0)) + F.get(n, F.lit(1)) + F.get(n, F.lit(2))).alias("elements_removed"),
-        token_estimate(F.col("visible_text")).alias("token_estimate"),
-    )
+    return clean.select("page_id", *[column.alias(name) for name, column in stats_columns()])
 
 
 def element_counts(clean: DataFrame) -> DataFrame:
     """Elements of each kind per page; 0 where there are none."""
-    kinds = ["headings", "lists", "tables", "images", "links", "buttons", "meta"]
-    return clean.select("page_id", *[F.size(k).alias(k) for k in kinds])
+    return clean.select("page_id", *[F.size(k).alias(k) for k in COUNTED_COLUMNS])
 
 
 def _rows(clean: DataFrame, array: str) -> DataFrame:

@@ -22,17 +22,32 @@ _URLS = [(k,) for k in _URL_FIELDS] + _NESTED_URLS
 
 
 def with_repairs(entity_rows: DataFrame) -> DataFrame:
-    """+ base, urls, dates: the page URL taken apart, and every single URL and date of the
-    entity repaired, each kind by one expression over an array."""
+    """+ base, urls, dates: the page URL taken apart, and every URL and date of the entity
+    repaired, each kind by one expression.
+
+    urls holds four lists: the single fields, the images, the offers' and the items' URLs.
+    """
     raw, base = F.col("raw"), F.col("base")
-    texts = F.array(*[_string(field(raw, *path)) for path in _URLS])
+    nested_url = lambda x: _string(field(x, "url"))
+    texts = F.array(
+        F.array(*[_string(field(raw, *path)) for path in _URLS]),
+        F.transform(elements(field(raw, "image")), _string),
+        F.transform(_offer_list(raw), nested_url),
+        F.transform(elements(field(raw, "itemListElement")), nested_url),
+    )
     days = F.array(*[_day(field(raw, k)) for k in _DATE_FIELDS])
     return entity_rows.withColumn("base", url_base("page_url")).withColumns({
-        "urls": F.transform(texts, lambda u: repair_url_on(u, base)),
+        "urls": F.transform(
+            texts, lambda us: F.transform(us, lambda u: repair_url_on(u, base))
+        ),
         "dates": F.transform(days, repair_date),
     })
 
 
+def _url_list(n: int) -> Column:
+    return F.get("urls", F.lit(n))
+
+
 def _string(value: Column) -> Column:
     """The text of a JSON string; anything else has none."""
     return F.when(is_kind(value, "string"), as_text(value))
@@ -52,7 +67,7 @@ def _typed(name: str) -> tuple[str, Column]:
 
 def _url(*path: str) -> Column:
     """Fragment of a URL from `urls`; null if there is none."""
-    return quoted(F.get("urls", F.lit(_URLS.index(path))))
+    return quoted(F.get(_url_list(0), F.lit(_URLS.index(path))))
 
 
 def _url_if_set(raw: Column, *path: str) -> Column:
@@ -76,8 +91,7 @@ def _filled(value: Column) -> Column:
 
 
 def _images(value: Column) -> Column:
-    urls = F.transform(elements(value), lambda x: repair_url_on(_string(x), F.col("base")))
-    kept = F.filter(urls, lambda u: u.isNotNull())
+    kept = F.filter(_url_list(1), lambda u: u.isNotNull())
     return F.when(_filled(value), json_array(F.transform(kept, quoted)))
 
 
@@ -147,14 +161,14 @@ def _offer_list(raw: Column) -> Column:
 
 
 def product_offers(raw: Column) -> Column:
-    def one(offer):
-        url = field(offer, "url")
+    def one(offer, n):
+        url = quoted(F.get(_url_list(2), n))
         return json_object(
             _typed("Offer"),
             ("price", _number(field(offer, "price"))),
             ("priceCurrency", if_set(field(offer, "priceCurrency"))),
             ("availability", if_set(field(offer, "availability"))),
-            ("url", if_set(url, lambda f: quoted(repair_url_on(_string(url), F.col("base"))))),
+            ("url", F.when(is_set(field(offer, "url")), url)),
         )
 
     return F.when(is_set(field(raw, "offers")), json_array(F.transform(_offer_list(raw), one)))
@@ -209,7 +223,7 @@ def itemlist_json_ld(raw: Column) -> list[tuple[str, Column]]:
         return json_object(
             _typed("ListItem"),
             ("position", F.coalesce(own, (n + 1).cast("string"))),
-            ("url", quoted(repair_url_on(_string(field(item, "url")), F.col("base")))),
+            ("url", quoted(F.get(_url_list(3), n))),
             ("name", fragment(field(item, "name"))),
         )
 

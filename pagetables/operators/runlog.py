@@ -28,7 +28,7 @@ def log_summary(run_log: DataFrame) -> DataFrame:
 
 def stage_times(run_log: DataFrame) -> DataFrame:
     """Milliseconds from a page's first to its last log row, per stage and in total."""
-    ms = F.unix_millis("ts")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
 
     def span(condition=None):
         value = ms if condition is None else F.when(condition, ms)
