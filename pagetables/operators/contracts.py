@@ -32,7 +32,7 @@ def entities(extractions: DataFrame, outer: bool = False) -> DataFrame:
 
 
 def _or_none(value: Column, check: Column) -> Column:
-    return value.isNull() | is_kind(value, "null") | F.coalesce(check, F.lit(False))
+    return value.isNull() | F.is_variant_null(value) | F.coalesce(check, F.lit(False))
 
 
 def is_core_string(value: Column) -> Column:

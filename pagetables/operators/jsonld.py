@@ -294,14 +294,13 @@ def build_error(raw: Column, kind: Column) -> Column:
     no_map = "entity.{}.map is not a function"
 
     def is_text(value):
-        return is_kind(value, "string") & is_set(value)
+        return F.coalesce(F.to_json(value).rlike('^"[^"]'), F.lit(False))
 
-    null_item = is_kind(items, "array") & F.exists(elements(items), lambda x: is_kind(x, "null"))
     return (
         F.when(kind.isin("Product", "Article", "BlogPosting") & is_text(image),
                no_map.format("image"))
         .when((kind == "ItemList") & is_text(items), no_map.format("itemListElement"))
-        .when((kind == "ItemList") & null_item,
+        .when((kind == "ItemList") & F.exists(elements(items), F.is_variant_null),
               "Cannot read properties of null (reading 'position')")
     )
 

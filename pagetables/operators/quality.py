@@ -1,6 +1,6 @@
 """Acceptance, rejections and quality figures over successful pages."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,12 +57,23 @@ def type_summary(validated: DataFrame) -> DataFrame:
     return rows.rollup("type", "outcome").agg(F.count("*").alias("n"))
 
 
+def seconds_text(ms: Column) -> Column:
+    """Milliseconds as seconds with one decimal; a tie is settled by the binary value, as
+    scripts do, so 0.25 gives 0.3 and 2122978.55 gives 2122978.5."""
+    seconds = ms.cast("double") / F.lit(1000.0)
+    tenths = (seconds - F.floor(seconds)) * 10
+    up = F.when(tenths - F.floor(tenths) >= 0.5, 1).otherwise(0)
+    n = F.floor(seconds) * 10 + F.floor(tenths) + up
+    whole = F.floor(n / 10).cast("string")
+    return F.concat(whole, F.lit("."), (n % 10).cast("string"), F.lit("s"))
+
+
 def stats_view(stage_times: DataFrame, usage: DataFrame | None = None) -> DataFrame:
     """Times in seconds with one decimal, and tokens with thousands separators."""
     times = [c for c in stage_times.columns if c.endswith("_ms")]
     shown = stage_times.select(
         "page_id",
-        *[F.format_string("%.1fs", F.col(c) / 1000).alias(c.removesuffix("_ms")) for c in times],
+        *[seconds_text(F.col(c)).alias(c.removesuffix("_ms")) for c in times],
     )
     if usage is None:
         return shown

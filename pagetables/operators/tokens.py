@@ -19,9 +19,14 @@ PAGE_END = 2**31 - 1
 def by_page(pages: DataFrame, colocated: bool = False) -> DataFrame:
     """Spread pages over the cluster by page_id, before they are split into tokens.
 
-    Set `colocated` for a table bucketed by page_id: its scan is spread that way already.
+    The number of partitions is given, so that AQE does not merge them by their compact
+    size: a page grows when it is split, and the work per byte is high.  Set `colocated`
+    for a table bucketed by page_id: its scan is spread that way already.
     """
-    return pages if colocated else pages.repartition("page_id")
+    if colocated:
+        return pages
+    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(partitions, "page_id")
 
 
 def tokens(pages: DataFrame, colocated: bool = False, keep: tuple = ()) -> DataFrame:

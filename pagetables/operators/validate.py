@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.text import let
 from ..functions.urls import is_url
-from ..functions.variants import as_text, field, is_kind
+from ..functions.variants import field
 from .contracts import entities
 from .jsonld import build_error, build_json_ld, price_repairs, with_repairs
 
@@ -25,14 +26,10 @@ def check_required(raw: Column, kind: Column) -> Column:
     names = dict.fromkeys(name for fs in fixed.REQUIRED_FIELDS.values() for name in fs)
 
     def reason(name):
-        value = field(raw, name)
-        missing = value.isNull() | is_kind(value, "null") | (
-            is_kind(value, "string") & (as_text(value) == "")
-        )
         path = F.concat(F.lit(" required field: "), kind, F.lit("." + name))
-        return F.when(missing, F.concat(F.lit("Missing"), path)).when(
-            is_kind(value, "array") & (F.to_json(value) == "[]"), F.concat(F.lit("Empty"), path)
-        )
+        return let(F.to_json(field(raw, name)), lambda f: F.when(
+            f.isNull() | f.isin("null", '""'), F.concat(F.lit("Missing"), path)
+        ).when(f == "[]", F.concat(F.lit("Empty"), path)))
 
     # Field by field in the rule's order: the first reason found is the answer.
     checks = [

@@ -204,14 +204,19 @@ EXTRACTIONS = {
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, page_url, payload, usage) of all sources together."""
+    """(page_id, page_url, payload, usage) of all sources together.
+
+    Each source is one small file, which one task would read and validate alone, so the
+    rows are spread by page_id.
+    """
     result = None
     for table, columns in EXTRACTIONS.items():
         rows = read(spark, sf_dir, table).selectExpr(
             *[f"{sql} AS {name}" for name, sql in columns.items()]
         )
         result = rows if result is None else result.unionByName(rows)
-    return result
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return result.repartition(partitions, "page_id")
 
 
 RUN_LOG = {
