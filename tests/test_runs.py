@@ -90,9 +90,20 @@ def test_stream(spark, pages, out):
     assert len(rows) == 6 and rows[3] == "new" and rows[2] == "t2\nl"
 
 
-def test_shared_dir_is_the_configured_one(spark):
-    spark.conf.set("spark.checkpoint.dir", "/shared/folder")
-    try:
-        assert io.shared_dir(spark) == "/shared/folder"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class _Session:
+    """A cluster session, as far as shared_dir looks at it."""
+
+    def __init__(self, settings):
+        self.settings = settings
+        self.conf = self
+        self.sparkContext = self
+        self.master = "spark://cluster"
+
+    def get(self, key, default):
+        return self.settings.get(key, default)
+
+
+def test_shared_dir_is_the_configured_one():
+    assert io.shared_dir(_Session({"spark.checkpoint.dir": "/shared"})) == "/shared"
+    with pytest.raises(ValueError):
+        io.shared_dir(_Session({}))
