@@ -4,7 +4,7 @@ Each reads whole tables.  Arrays are shown as joined text, so that results can b
 as plain values.
 """
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -252,7 +252,7 @@ def streamed_pages(spark, sf):
 
 
 def _unique() -> str:
-    return next(tempfile._get_candidate_names())
+    return uuid.uuid4().hex
 
 
 def stage_time_rows(spark, sf):
