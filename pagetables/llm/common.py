@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, which may not have it on their path."""
+    if spark.sparkContext.applicationId not in _shipped:
+        _shipped.add(spark.sparkContext.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(os.path.realpath(tempfile.mkdtemp()) + f"/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,7 +41,6 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if spark.sparkContext.getCheckpointDir() is None:
-            import tempfile
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
