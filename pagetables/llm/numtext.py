@@ -6,11 +6,14 @@ place where each text begins; nothing loops over words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -118,6 +121,17 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + length)
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = CHUNK_BYTES) -> np.ndarray:
+    """span_hash of many ordered runs of bytes, in steps that bound the memory of a very long text."""
+    out = np.empty(len(start), np.uint64)
+    cuts = np.append(np.searchsorted(start, np.arange(0, len(data), step)), len(start))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            low, high = start[a], end[b - 1]
+            out[a:b] = span_hash(prefix_hash(data[low:high]), start[a:b] - low, end[a:b] - low)
+    return out
+
+
 def window_hash(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of n words in a row, for each place where n words begin (over text borders too)."""
     if len(words) < n:
@@ -144,6 +158,32 @@ def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(depth[:-1]) > 0
 
 
+def annotate(df: DataFrame, text_col: str, keep: Iterable[str], extra: str, work: Callable[[Texts], list[pa.Array]],
+             size: int = CHUNK_BYTES) -> DataFrame:
+    """Column `row`, a struct of the columns `keep`, and the columns `extra` that work() makes from the texts.
+
+    The kept columns stay apart from the new ones, whatever their names are.
+    """
+    keep = list(keep)
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+    source = df.select(row.alias("row"), F.col(f"`{text_col}`").alias("text"))
+    names = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", extra)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in chunks(batch.column(1), size):
+                rows = batch.column(0).slice(texts.rows.start, texts.rows.stop - texts.rows.start)
+                yield pa.RecordBatch.from_arrays([rows, *work(texts)], names=["row", *names])
+
+    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, {extra}")
+
+
+def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """One list of counts[i] values for each text."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of values in first[i]:first[i + 1] for each text."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

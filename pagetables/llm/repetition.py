@@ -56,8 +56,7 @@ def _stats(texts: nt.Texts, ngrams: tuple[int, ...]) -> dict[str, np.ndarray]:
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
     words = nt.spans(nt.PRINTED[data], starts)
     lengths = chars[words.end] - chars[words.start]
-    prefix = nt.prefix_hash(data)
-    hashes = nt.span_hash(prefix, words.start, words.end)
+    hashes = nt.run_hashes(data, words.start, words.end)
     symbol = np.isin(data, np.frombuffer(SYMBOLS, np.uint8))
     out = {
         "n_words": words.first[1:] - words.first[:-1],
@@ -72,7 +71,7 @@ def _stats(texts: nt.Texts, ngrams: tuple[int, ...]) -> dict[str, np.ndarray]:
     worded = np.searchsorted(words.start, lines.end) > np.searchsorted(words.start, lines.start)
     line_chars = chars[lines.end] - chars[lines.start]
     text = np.repeat(np.arange(n), lines.first[1:] - lines.first[:-1])
-    key = nt.span_hash(prefix, lines.start, lines.end) ^ nt.mix(text.astype(np.uint64))
+    key = nt.run_hashes(data, lines.start, lines.end) ^ nt.mix(text.astype(np.uint64))
     order = np.argsort(key, kind="stable")
     later = np.zeros(len(key), bool)
     later[order[1:]] = key[order[1:]] == key[order[:-1]]
