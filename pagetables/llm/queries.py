@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import chat, decontaminate, packing, warc
+from pagetables.llm import chat, classifier, decontaminate, packing, pii, warc
 from pagetables.llm.common import shared_dir, table
 from pagetables.llm.repetition import quality_rules
 
@@ -50,6 +50,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("refers_to", number, 1).try_cast("long").alias("refers_to"), "error")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("spark.pagetables.surrogateKey", "a key for tests only").encode()
+    return pii.replace_entities(table(spark, sf_dir, "documents"), key, keep=["doc_id"]).select(
+        "row.doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
