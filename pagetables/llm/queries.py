@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import chat, classifier, decontaminate, packing, pii, warc
+from pagetables.llm import chat, classifier, decontaminate, packing, pii, styletree, warc
 from pagetables.llm.common import shared_dir, table
 from pagetables.llm.repetition import quality_rules
 
@@ -54,6 +54,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return styletree.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select(
+        "row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.conf.get("spark.pagetables.surrogateKey", "a key for tests only").encode()
     return pii.replace_entities(table(spark, sf_dir, "documents"), key, keep=["doc_id"]).select(
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_html_extraction": op8_html_extraction,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -98,4 +104,17 @@ ORACLES: dict[str, str] = {
             CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN first <> page_id THEN first END AS refers_to, CAST(NULL AS VARCHAR) AS error
         FROM sized LEFT JOIN firsts USING (payload_digest)""",
+    # the frame of these pages is known: the main text is what stands in the article element
+    "op8_html_extraction": r"""
+        WITH article AS (
+            SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '<[^<>]*$', '') AS inner_html
+            FROM pages),
+        pieces AS (
+            SELECT page_id, url, list_transform(
+                regexp_split_to_array(replace(inner_html, '<br>', ' '), '</?(?:p|h1)>'),
+                lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'),
+                    '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks
+            FROM article),
+        joined AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM pieces)
+        SELECT page_id, url, text, length(text) AS n_chars FROM joined""",
 }
