@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import chat, classifier, decontaminate, packing, pii, styletree, warc
+from pagetables.llm import chat, classifier, decontaminate, linededup, packing, pii, styletree, warc
 from pagetables.llm.common import shared_dir, table
 from pagetables.llm.repetition import quality_rules
 
@@ -35,6 +35,14 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select(
+        "row.doc_id", "row.text", F.col("n_lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.col("removed").cast("array<struct<line:int,of_doc:long,of_line:int>>").alias("removed"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_matches(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]).select(
@@ -74,6 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
     "op7_quality_classifier": op7_quality_classifier,
