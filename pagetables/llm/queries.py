@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import chat, classifier, decontaminate, linededup, packing, pii, styletree, warc
+from pagetables.llm import chat, classifier, decontaminate, linededup, neardup, packing, pii, styletree, warc
 from pagetables.llm.common import shared_dir, table
 from pagetables.llm.repetition import quality_rules
 
@@ -19,6 +19,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("id").alias("doc_id"), "class_id")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
@@ -81,6 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
