@@ -15,9 +15,9 @@ JS_SPACE = (
     "\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
-# The named references of HTML 4 come from the standard library; apos is XML's.
-_NAMED = {name: chr(code) for name, code in _entities.name2codepoint.items()} | {"apos": "'"}
-_NAMED_WITHOUT_SEMICOLON = [n for n in _entities.html5 if not n.endswith(";")]
+# All named references come from the standard library. Some old ones need no semicolon.
+_NAMED = {n[:-1]: text for n, text in _entities.html5.items() if n.endswith(";")}
+_OPEN_NAMES = sorted((n for n in _entities.html5 if not n.endswith(";")), key=len, reverse=True)
 
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)|[^&]++|&"
 
@@ -63,12 +63,19 @@ def code_point(number: Column) -> Column:
 def _reference(ref: Column, in_attribute: bool) -> Column:
     body = F.regexp_replace(ref, "^&#?|;$", "")
     closed = ref.endswith(";")
-    hexadecimal = F.conv(F.substring(body, 2, 8), 16, 10).try_cast("int")
-    decimal = F.substring(body, 1, 10).try_cast("int")
-    named = F.try_element_at(lookup_table(_NAMED, "string"), body)
-    open_ok = F.lit(False) if in_attribute else F.array_contains(
-        word_list(_NAMED_WITHOUT_SEMICOLON), body
-    )
+    # a number too long for a code point is none, however many zeros it begins with
+    hex_digits = F.regexp_replace(body, "^[xX]0*", "")
+    hexadecimal = F.when(F.length(hex_digits) <= 6, F.conv(hex_digits, 16, 10).try_cast("int"))
+    decimal_digits = F.regexp_replace(body, "^0+(?=[0-9])", "")
+    decimal = F.when(F.length(decimal_digits) <= 7, decimal_digits.try_cast("int"))
+    table = lookup_table(_NAMED, "string")
+    named = F.when(closed, F.try_element_at(table, body))
+    # without a semicolon, or with an unknown name, the longest old name that begins it counts
+    begins = F.regexp_extract(body, f"^(?:{'|'.join(_OPEN_NAMES)})", 0)
+    opened = F.when(begins != "", F.concat(
+        F.try_element_at(table, begins), F.substr(ref, F.length(begins) + 2)))
+    if in_attribute:
+        opened = F.lit(None).cast("string")
     return (
         F.when(~ref.startswith("&") | (ref == "&"), ref)
         .when(ref.isin("&amp;", "&AMP;"), F.lit("&"))
@@ -78,8 +85,7 @@ def _reference(ref: Column, in_attribute: bool) -> Column:
         .when(ref == "&nbsp;", F.lit("\u00a0"))
         .when(ref.rlike("^&#[xX]"), code_point(F.coalesce(hexadecimal, F.lit(0))))
         .when(ref.startswith("&#"), code_point(F.coalesce(decimal, F.lit(0))))
-        .when(closed | open_ok, F.coalesce(named, ref))
-        .otherwise(ref)
+        .otherwise(F.coalesce(named, opened, ref))
     )
 
 

@@ -107,25 +107,50 @@ def json_array(frags: Column) -> Column:
 _JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|\{\s*\}|\[\s*\]|[{}\[\],:]|[^\s{}\[\],:"]++'
 
 
+#: Tokens that pretty_json folds at a time.
+_PRETTY_CHUNK = 256
+
+
 def pretty_json(text) -> Column:
-    """JSON text with an indent of two spaces, keys in the order they have."""
-    toks = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0))
+    """JSON text with an indent of two spaces, keys in the order they have.
+
+    A fold copies what it has at every step, so the tokens are folded in short chunks; the depth
+    at which each chunk begins is summed up first.
+    """
     line = lambda depth: F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+    opens, closes = (lambda t: t.isin("{", "[")), (lambda t: t.isin("}", "]"))
 
     def step(acc, t):
         deeper, out = acc["depth"] + 1, acc["depth"] - 1
-        depth = F.when(t.isin("{", "["), deeper).when(t.isin("}", "]"), out).otherwise(acc["depth"])
+        depth = F.when(opens(t), deeper).when(closes(t), out).otherwise(acc["depth"])
         spelled = (
-            F.when(t.isin("{", "["), F.concat(t, line(deeper)))
-            .when(t.isin("}", "]"), F.concat(line(out), t))
+            F.when(opens(t), F.concat(t, line(deeper)))
+            .when(closes(t), F.concat(line(out), t))
             .when(t == ",", F.concat(t, line(acc["depth"])))
             .when(t == ":", F.lit(": "))
             .when(t.rlike(r"^[{\[]"), F.regexp_replace(t, r"\s", ""))
             .otherwise(t)
         )
-        return F.struct(
-            depth.alias("depth"), F.concat(acc["out"], F.array(spelled)).alias("out")
-        )
-
-    return F.aggregate(toks, start, step, lambda acc: F.array_join(acc["out"], ""))
+        return F.struct(depth.alias("depth"), F.concat(acc["cur"], spelled).alias("cur"))
+
+    def fold(chunk, base):
+        start = F.struct(base.alias("depth"), F.lit("").alias("cur"))
+        return F.aggregate(chunk, start, step, lambda acc: acc["cur"])
+
+    def bases(chunks):
+        rise = F.transform(chunks, lambda c: F.size(F.filter(c, opens)) - F.size(F.filter(c, closes)))
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("at"))
+        return F.aggregate(rise, start, lambda acc, n: F.struct(
+            (acc["sum"] + n).alias("sum"), F.concat(acc["at"], F.array(acc["sum"])).alias("at"),
+        ), lambda acc: acc["at"])
+
+    def whole(toks):
+        last = F.ceil(F.size(toks) / _PRETTY_CHUNK).cast("int") - 1
+        chunks = F.transform(
+            F.sequence(F.lit(0), last),
+            lambda k: F.slice(toks, k * _PRETTY_CHUNK + 1, F.lit(_PRETTY_CHUNK)))
+        joined = let(chunks, lambda cs: let(bases(cs), lambda bs: F.array_join(
+            F.transform(cs, lambda c, k: fold(c, F.get(bs, k))), "")))
+        return F.when(F.size(toks) > 0, joined).otherwise(F.when(toks.isNotNull(), ""))
+
+    return let(F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0)), whole)

@@ -31,6 +31,38 @@ def part_array() -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
+#: Stands between text nodes; no page text holds it.
+BREAK = "\u0000"
+
+
+def is_ignored() -> Column:
+    """Tokens that a parser skips without ending a text node: end tags without a start, doctypes,
+    tags of html, head and body, unfinished tags. An end tag of p or br makes an element."""
+    tag = F.col("tag")
+    stray = F.col("is_close") & ~F.coalesce(F.col("paired"), F.lit(False)) & ~tag.isin("p", "br")
+    return stray | tag.isin("#declaration", "#unfinished", "html", "head", "body")
+
+
+def is_plain_text() -> Column:
+    return F.col("tag") == "#text"
+
+
+def text_pieces(alive: Column) -> Column:
+    """What a token adds to the text of its page: text nodes are what stands between breaks."""
+    text = F.translate(F.col("text"), BREAK, "\ufffd")
+    attrs = F.col("attrs")
+    named = F.array(
+        attrs["aria-label"], attrs["title"], F.when(F.col("tag") == "img", attrs["alt"]),
+        F.when(~is_plain_text(), text),
+    )
+    parts = F.filter(named, lambda p: p.isNotNull())
+    element = F.concat(F.lit(BREAK), F.array_join(parts, BREAK), F.lit(BREAK))
+    return (
+        F.when(~alive, F.lit(BREAK)).when(is_plain_text(), text)
+        .when(is_ignored() & (F.size(parts) == 0), "").otherwise(element)
+    )
+
+
 def _with_counts(marked: DataFrame) -> DataFrame:
     """+ alive and, per counted kind, how many are alive up to and with this token."""
     tag = F.col("tag")
@@ -89,7 +121,7 @@ def _page_arrays(marked: DataFrame, keep: tuple, wanted: set) -> DataFrame:
         "matches": lambda: gather(F.col("rank").isNotNull(), "end", "rank", "grp"),
         "counts": lambda: gather(F.col("i").isNotNull(), *counts),
         "texts": lambda: gather(F.col("alive") & F.col("text").isNotNull(), "text"),
-        "parts": lambda: gather(F.col("alive") & F.col("in_body"), part_array().alias("parts")),
+        "parts": lambda: gather(F.col("in_body"), text_pieces(F.col("alive")).alias("piece")),
         "html": html,
         "headings": lambda: gather(
             opens & tag.isin(*HEADING_TAGS), *span,
@@ -254,7 +286,8 @@ def _json_ld() -> Column:
 
 
 def _visible_text() -> Column:
-    parts = F.flatten(F.col("a_parts")["parts"])
+    runs = F.split(F.array_join(F.col("a_parts")["piece"], ""), BREAK)
+    parts = F.filter(F.transform(runs, js_trim), lambda p: p != "")
 
     def join(ps):
         kept = F.filter(ps, lambda p, k: (k == 0) | (p != F.get(ps, k - 1)))

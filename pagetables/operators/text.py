@@ -5,13 +5,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from .elements import part_array
+from ..functions.text import js_trim
+from .elements import is_ignored, is_plain_text, part_array
 
 
 def text_parts(marked: DataFrame) -> DataFrame:
-    """(page_id, i, k, text): visible parts in document order, from the body on."""
-    body = marked.where(F.col("in_body") & ~F.col("removed"))
-    return body.select("page_id", "i", F.posexplode(part_array()).alias("k", "text"))
+    """(page_id, i, k, text): visible parts in document order, from the body on.
+
+    A text node is what stands between two elements, comments or removed subtrees; tokens that a
+    parser ignores don't split it. It has the i of its first token.
+    """
+    order = W.partitionBy("page_id").orderBy("i")
+    kept = ~F.col("removed")
+    breaks = ~kept | ~(is_plain_text() | is_ignored())
+    body = marked.where("in_body").withColumn(
+        "run", F.sum(F.when(breaks, 1).otherwise(0)).over(order))
+    texts = body.where(kept & is_plain_text()).groupBy("page_id", "run").agg(
+        F.sort_array(F.collect_list(F.struct("i", "text"))).alias("pieces"))
+    texts = texts.select(
+        "page_id", F.col("pieces")[0]["i"].alias("i"), F.lit(0).alias("k"),
+        js_trim(F.array_join(F.col("pieces")["text"], "")).alias("text")).where("text <> ''")
+    others = body.where(kept & ~is_plain_text()).select(
+        "page_id", "i", F.posexplode(part_array()).alias("k", "text"))
+    return texts.union(others)
 
 
 def dedupe_adjacent(parts: DataFrame) -> DataFrame:

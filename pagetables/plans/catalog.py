@@ -213,7 +213,7 @@ def page_results(spark, sf):
 
 
 def script_tags(spark, sf):
-    rows = va.accepted_entities(_validated(spark, sf)).where("type = 'Event'")
+    rows = va.accepted_entities(_validated(spark, sf))
     return jl.script_blocks(rows).select("page_id", "idx", "script")
 
 

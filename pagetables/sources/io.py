@@ -60,12 +60,10 @@ def write_stage(
     df: DataFrame, stage: str, run_id: str, path: str, mode: str = "overwrite",
     fmt: str = "parquet",
 ) -> None:
-    """Write what a stage made under its run; a rerun replaces only its own run."""
-    (
-        df.withColumn("run_id", F.lit(run_id))
-        .write.format(fmt).mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id").save(f"{path}/{stage}")
+    """Write what a stage made under its run; a rerun replaces its own run alone, also with
+    nothing."""
+    df.write.format(fmt).mode(mode).option("partitionOverwriteMode", "static").save(
+        f"{path}/{stage}/run_id={run_id}"
     )
 
 

@@ -6,41 +6,61 @@ from pyspark.sql import functions as F
 from ..operators.documents import document
 from ..operators.elements import DOCUMENT_COLUMNS, clean_pages
 from ..operators.quality import quality_metrics
-from ..operators.validate import outcome_code, page_outcomes, page_validation
+from ..operators.validate import (
+    gate_status, gate_urls, outcome_code, page_outcomes, page_validation,
+)
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 
 
 def process(pages: DataFrame, extractions: DataFrame | None = None) -> DataFrame:
-    """One row per page: text, document, and with extraction results outcome and quality."""
-    clean = clean_pages(pages, DOCUMENT_COLUMNS)
+    """One row per page: text, document, and with extraction results outcome and quality.
+
+    Pages that a gate refuses are not cleaned. With extraction results they come with their
+    outcome and without text; else they are left out.
+    """
+    gated = gate_urls(pages)
+    if "status" in pages.columns:
+        gated = gated.where("reason IS NULL").transform(gate_status)
+    clean = clean_pages(gated.where("reason IS NULL").drop("reason"), DOCUMENT_COLUMNS)
     result = clean.select("page_id", "visible_text", document().alias("document"))
     if extractions is None:
         return result
     wanted = extractions.join(pages.select("page_id"), "page_id", "left_semi")
     validation = page_validation(wanted)
     outcomes = outcome_code(page_outcomes(pages, validation))
-    return result.join(outcomes, "page_id", "left").join(
-        quality_metrics(validation), "page_id", "left"
+    quality = quality_metrics(validation)
+    added = [c for part in (outcomes, quality) for c in part.columns if c != "page_id"]
+    return (
+        outcomes.join(result, "page_id", "left").join(quality, "page_id", "left")
+        .select(*result.columns, *added)
     )
 
 
+def newest(batch: DataFrame, version: str | None = None) -> DataFrame:
+    """One row per page: that of the greatest `version`; without one, or among equals, that of
+    the greatest html, then url, so that a replay takes the same."""
+    first = [c for c in (version, "html", "url") if c]
+    rest = [c for c in batch.columns if c not in (*first, "page_id")]
+    row = F.max(F.struct(*first, *rest)).alias("row")
+    return batch.groupBy("page_id").agg(row).select("page_id", "row.*").select(*batch.columns)
+
+
 def stream_pages(
     spark: SparkSession, source: str, out: str, checkpoint: str,
     extractions: DataFrame | None = None, max_files: int = 1000, schema: str = PAGE_SCHEMA,
+    version: str | None = None,
 ):
     """Run the pages of a folder that are new since the last call through `process`.
 
-    Each micro-batch replaces its own partition, so a batch that is replayed after a failure
-    writes the same rows to the same place; `latest` reads one row per page.
+    Each micro-batch replaces its own folder, so a batch that is replayed after a failure
+    writes the same rows to the same place; `latest` reads one row per page. `version` names
+    the column that tells which row of a page is the newest, see `newest`.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            process(batch, extractions)
-            .withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(out)
-        )
+        process(newest(batch, version), extractions).write.mode("overwrite").option(
+            "partitionOverwriteMode", "static"
+        ).parquet(f"{out}/batch_id={batch_id}")
 
     arriving = (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)

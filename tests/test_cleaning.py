@@ -62,6 +62,9 @@ CASES = {
     "body_start": "<html><head><title>Title</title></head><body>in</body></html>after",
     "no_body": "<title>T</title><p>first",
     "stray": page('<p title="a > b">1 < 2 <3 & 4<!-- c -->5<br/>6'),
+    "zeros": page("<p>&#x000000041;&#00000000065;&#x110000;&#99999999999999999999;"),
+    "all_names": page("<p>&check;&phone;&notit;&NotEqualTilde;<a href='/?a=1&copy=2&check;'>x</a>"),
+    "text_nodes": page("<p>a</b>b</p>c<!-- x -->d</p>e<script>s</script>f<!doctype x>g"),
     "entities": page("<p>&lt;&eacute;&#233;&#xe9;&#128;&nope;&copy &#0;&apos;"),
     "unclosed": page('<section><div class="ad">a<p>b</section>kept'),
     "crossing": page('<section class="modal"><div>a</section></div>kept'),
@@ -150,10 +153,14 @@ def test_json_ld(result):
 def test_text(result):
     assert result["text_order"]["visible_text"] == "l\nt\nx\ni\na\ny"
     assert result["repeat"]["visible_text"] == "A\nB\nA"
-    assert result["body_start"]["visible_text"] == "in\nafter"
+    assert result["body_start"]["visible_text"] == "inafter"
     assert result["no_body"]["visible_text"] == "first"
     assert result["stray"]["visible_text"] == "a > b\n1 < 2 <3 & 4\n5\n6"
     assert result["entities"]["visible_text"] == "<ééé€&nope;© �'"
+    assert result["zeros"]["visible_text"] == "AA\ufffd\ufffd"
+    assert result["all_names"]["visible_text"] == "✓☎¬it;≂̸\nx"
+    assert result["all_names"]["links"][0]["href"] == "/?a=1&copy=2✓"
+    assert result["text_nodes"]["visible_text"] == "ab\nc\nd\ne\nfg"
     assert result["textarea"]["visible_text"] == "a <b>c</b> &"
     assert result["upper"]["visible_text"] == "a"
 

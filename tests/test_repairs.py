@@ -1,5 +1,8 @@
 """Repairs of prices, URLs and dates."""
 
+import json
+import time
+
 from pyspark.sql import functions as F
 
 from pagetables.functions.repair import price_message, repair_date, repair_price, repair_url
@@ -25,6 +28,8 @@ URLS = [
     ("z", "http://H.com:80", "http://h.com/z"), ("../../..", BASE, "https://h.example/"),
 ]
 DATES = [
+    ("2026/01/21", "2026-01-21"), ("Jan 21 2026", "2026-01-21"), ("2026-1-5", "2026-01-05"),
+    ("January 21, 2026 10:00", "2026-01-21"), ("01/21/2026 10:00", "2026-01-21"),
     ("2026-01-21", "2026-01-21"), ("Jan 21, 2026", "2026-01-21"),
     ("2026-01-21T23:30:00-05:00", "2026-01-22"), ("soon", "soon"), ("", None), (None, None),
     ("21 Jan 2026", "2026-01-21"), ("January 2, 2026", "2026-01-02"),
@@ -78,6 +83,18 @@ def test_pretty_json(spark):
     check(spark.createDataFrame(rows, "raw string, want string"), pretty_json("raw"))
 
 
+def test_pretty_json_is_linear(spark):
+    def seconds(n):
+        text = json.dumps([{"key": i, "list": [1, 2]} for i in range(n)])
+        df = spark.createDataFrame([(text,)], "raw string").select(pretty_json("raw").alias("p"))
+        start = time.perf_counter()
+        got = df.head().p
+        assert got == json.dumps(json.loads(text), indent=2)
+        return time.perf_counter() - start
+    seconds(100)
+    assert seconds(24_000) < 6 * seconds(8_000) + 1
+
+
 def test_seconds(spark):
     rows = [(0, "0.0s"), (5550, "5.5s"), (250, "0.3s"), (49, "0.0s"), (2122978550, "2122978.5s"),
             (9960, "10.0s")]

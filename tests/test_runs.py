@@ -82,7 +82,7 @@ def test_stream(spark, pages, out):
     stream_pages(*args).awaitTermination()
     assert latest(spark, f"{out}/out").count() == 6
     # A page that comes again replaces its row; nothing new changes nothing.
-    again = spark.createDataFrame([(3, "u", "<body>new")], SCHEMA)
+    again = spark.createDataFrame([(3, "http://u.example/", "<body>new")], SCHEMA)
     again.write.mode("append").parquet(f"{out}/in")
     stream_pages(*args).awaitTermination()
     stream_pages(*args).awaitTermination()
@@ -90,6 +90,24 @@ def test_stream(spark, pages, out):
     assert len(rows) == 6 and rows[3] == "new" and rows[2] == "t2\nl"
 
 
+def test_stage_outputs_are_replaced_also_with_nothing(spark, pages, out):
+    io.write_stage(pages, "raw", "a", out)
+    io.write_stage(pages, "raw", "b", out)
+    io.write_stage(pages.limit(0), "raw", "a", out)
+    assert io.load_stage(spark, "raw", "a", out).count() == 0
+    assert io.load_stage(spark, "raw", "b", out).count() == 6
+
+
+def test_a_page_twice_in_one_batch_and_gates(spark, out):
+    rows = [(1, "http://a.example/", "<body>old", 1), (1, "http://a.example/", "<body>and new", 2),
+            (2, "no url", "<body>x", 1)]
+    schema = f"{SCHEMA}, fetched long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{out}/in")
+    stream_pages(spark, f"{out}/in", f"{out}/out", f"{out}/checkpoint", schema=schema,
+                 version="fetched").awaitTermination()
+    assert {r.page_id: r.visible_text for r in latest(spark, f"{out}/out").collect()} == {1: "and new"}
+
+
 class _Session:
     """A cluster session, as far as shared_dir looks at it."""
 
