@@ -18,14 +18,24 @@ def entities(extractions: DataFrame, outer: bool = False) -> DataFrame:
     With `outer`, a page without entities keeps one row with a null idx, and has_schemas
     says whether its payload held the array at all.
     """
+    return explode_entities(parse_extractions(extractions), outer)
+
+
+def entity_type(raw: Column) -> Column:
+    """The @type of an entity if it is a text, else null."""
+    kind = field(raw, "@type")
+    return F.when(is_kind(kind, "string"), as_text(kind))
+
+
+def explode_entities(parsed: DataFrame, outer: bool = False) -> DataFrame:
+    """Entities of payloads that parse_extractions has read."""
     explode = F.posexplode_outer if outer else F.posexplode
-    rows = parse_extractions(extractions).select(
+    rows = parsed.select(
         "page_id", "page_url",
         *([F.col("schemas").isNotNull().alias("has_schemas")] if outer else []),
         explode("schemas").alias("idx", "raw"),
     )
-    kind = field(F.col("raw"), "@type")
-    return rows.withColumn("type", F.when(is_kind(kind, "string"), as_text(kind)))
+    return rows.withColumn("type", entity_type(F.col("raw")))
 
 
 # --- shapes: a Column that says whether a value has it; absent and null are fine ---

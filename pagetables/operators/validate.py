@@ -7,7 +7,7 @@ from ..functions import fixed
 from ..functions.text import let
 from ..functions.urls import is_url
 from ..functions.variants import field
-from .contracts import entities
+from .contracts import entities, entity_type, explode_entities, parse_extractions
 from .jsonld import build_error, build_json_ld, price_repairs, with_repairs
 
 OK, BAD_REQUEST, UNPROCESSABLE, SERVER_ERROR = 200, 400, 422, 500
@@ -135,10 +135,29 @@ def page_result(extractions: DataFrame) -> DataFrame:
     )
 
 
-def successful_entities(validated: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Validated entities of the pages that did not fail."""
-    good = outcomes.where(F.col("stage").isNull()).select("page_id")
-    return validated.join(good, "page_id", "left_semi")
+def page_failed(schemas: Column) -> Column:
+    """Whether a page fails, worked out inside its row: no list, an entity without a text @type,
+    an entity error, or nothing accepted."""
+    def accepted(e):
+        return F.coalesce(check_required(e, entity_type(e)).isNull(), F.lit(False))
+
+    def has_error(e):
+        return accepted(e) & build_error(e, entity_type(e)).isNotNull()
+
+    return (
+        schemas.isNull()
+        | F.exists(schemas, lambda e: entity_type(e).isNull())
+        | F.exists(schemas, has_error)
+        | ~F.exists(schemas, accepted)
+    )
+
+
+def successful_entities(extractions: DataFrame) -> DataFrame:
+    """Entities with reason and accepted, of the pages that did not fail; one read, no shuffle."""
+    rows = parse_extractions(extractions)
+    good = rows.where(~F.coalesce(page_failed(F.col("schemas")), F.lit(True)))
+    kept = with_reason(explode_entities(good))
+    return kept.withColumn("accepted", F.col("type").isNotNull() & F.col("reason").isNull())
 
 
 def gate_urls(pages: DataFrame, url: str = "url") -> DataFrame:

@@ -77,7 +77,7 @@ def _validation(spark, sf):
 
 
 def _successful(spark, sf):
-    return va.successful_entities(_reasons(spark, sf), _validation(spark, sf))
+    return va.successful_entities(de.extractions(spark, sf))
 
 
 def _outcomes(spark, sf):
