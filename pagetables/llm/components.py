@@ -1,7 +1,7 @@
 """Links between nodes: verified star by star within buckets, then joined to components.
 
-Nodes are 64-bit content keys. A bucket of n nodes is never expanded to its pairs: each round
-compares its nodes with one leader, and only those that are not yet in the leader's component.
+Nodes are 64-bit content keys. A bucket of n nodes is not expanded to its pairs: each round
+compares its nodes with some leaders, and only those that are not yet in a leader's component.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagetables.llm.common import settle
@@ -19,8 +19,8 @@ from pagetables.llm.common import settle
 #: keys it lets more through, and the exact join after it drops them.
 BLOOM_WORDS = 1 << 18
 
-#: Nodes of a bucket that all its others are compared with in one round.
-LEADERS = 4
+#: Links in a round, as a share of its comparisons, below which no further round is made.
+MIN_YIELD = 0.01
 
 EDGES = "a long, b long"
 
@@ -53,8 +53,11 @@ def _union(edges: DataFrame) -> DataFrame:
 
 def _is_forest(edges: DataFrame) -> bool:
     """Whether every edge is (node, root): no node hangs on two others, and no root hangs on any."""
-    seen = edges.select(F.col("a").alias("n"), F.lit(1).alias("as_node")).union(edges.select("b", F.lit(0)).distinct())
-    return seen.groupBy("n").agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
+    nothing = F.lit(None).cast("long")
+    seen = edges.select(F.col("a").alias("n"), F.col("b").alias("on"), nothing.alias("root"))
+    seen = seen.union(edges.select("b", nothing, F.lit(1).cast("long")))
+    found = seen.groupBy("n").agg(F.min("on").alias("low"), F.max("on").alias("high"), F.max("root").alias("root"))
+    return found.filter("low <> high OR (low IS NOT NULL AND root IS NOT NULL)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -66,15 +69,15 @@ def components(edges: DataFrame) -> DataFrame:
     a partial aggregate, and the joins are between plain exchanges, which Spark splits for hubs.
     """
     links = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current = settle(_union(links.distinct()).distinct())
+    current = settle(_union(links.distinct()))
     while not _is_forest(current):
         both = current.union(current.select("b", "a"))
         least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = settle(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         star = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        current = settle(_union(star.distinct()).distinct())
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        current = settle(_union(star.distinct()))
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
 
 
 def bloom(keys: DataFrame) -> np.ndarray:
@@ -89,13 +92,21 @@ def bloom(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _leaders(placed: DataFrame, round_: int) -> DataFrame:
-    """band and leaders of the bands with several components: LEADERS members each, others every round."""
-    def first(k: int) -> Column:
-        return F.min(F.struct(F.xxhash64("key", F.lit(round_ * LEADERS + k)).alias("h"), F.col("key").alias("key"), F.col("root").alias("root")))
-    found = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*[first(k) for k in range(LEADERS)]).alias("l"))
-    leaders = F.array_distinct(F.transform("l", lambda x: F.struct(x["key"].alias("key"), x["root"].alias("root"))))
-    return found.filter("low <> high").select("band", leaders.alias("leaders"))
+def _members(sketches: DataFrame) -> DataFrame:
+    """band and key of the nodes in bands that two nodes or more have."""
+    rows = sketches.select("key", F.explode("bands").alias("band"))
+    shared = settle(rows.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("band"))
+    # most bands have one node: a filter drops nearly all of those before the rows are shuffled again
+    passes = sketches.sparkSession.sparkContext.broadcast(bloom(shared.select(F.col("band").alias("key"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1)
+            key = np.repeat(batch.column(0).to_numpy(), np.diff(bands.offsets.to_numpy()))
+            band = bands.flatten().to_numpy()
+            hit = in_bloom(passes.value, band)
+            yield pa.RecordBatch.from_arrays([pa.array(band[hit]), pa.array(key[hit])], names=["band", "key"])
+    return settle(sketches.select("key", "bands").mapInArrow(run, "band long, key long").join(shared, "band").distinct())
 
 
 def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -105,36 +116,41 @@ def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: C
     in several rows. texts(keys) gives key, text for the keys that are in shared bands.
     verify(pairs) takes key, text, other, other_text and returns the pairs (a, b) that are linked.
 
-    Round by round, each bucket with nodes of several components compares LEADERS of them, chosen anew
-    each time, with all its nodes in other components that they were not yet compared with. The
-    search ends when nothing is left to compare, or after a round without a new link. Buckets of up to
-    LEADERS nodes are compared in full.
+    The nodes of a band are put in the order of a hash. In round k, the next 4^k of each band with
+    nodes of several components are compared with all its nodes outside their components. So a band of
+    up to 6 nodes is compared in full in the first two rounds, one of 22 in three, and so
+    on. The search ends when no band has nodes left to compare, or after a round, the second or
+    later, in which fewer than MIN_YIELD of the comparisons gave a link.
     """
-    rows = sketches.select("key", F.explode("bands").alias("band"))
-    shared = settle(rows.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("band"))
-    members = settle(rows.join(shared, "band").select("band", "key").distinct())
+    members = _members(sketches)
     held = settle(texts(members.select("key").distinct()))
     labels = settle(sketches.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("root")))
-    compared, round_ = None, 0
+    placed, start, size = members.withColumn("root", F.col("key")), 0, 1
+    order = Window.partitionBy("band").orderBy(F.xxhash64("key"), "key")
     while True:
-        placed = settle(members.join(labels, members["key"] == labels["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root")))
-        leaders = settle(_leaders(placed, round_))
-        offered = placed.join(leaders, "band").select("key", "root", F.explode("leaders").alias("l"))
-        pairs = offered.filter("root <> l.root").select(F.col("key"), F.col("l.key").alias("other"))
-        # a pair of two leaders is offered both ways
+        leaders = placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= start + size).filter(F.col("rank") > start)
+        leaders = leaders.select("band", F.col("key").alias("other"), F.col("root").alias("its"))
+        pairs = placed.join(leaders, "band").filter("root <> its").select("key", "other")
+        # two leaders meet both ways
         ends = F.struct(F.least("key", "other"), F.greatest("key", "other"))
-        pairs = pairs.withColumn("ends", ends).groupBy("ends").agg(F.min(F.struct("key", "other")).alias("p")).select("p.key", "p.other")
-        if compared is not None:
-            done = compared.union(compared.select("other", "key")).toDF("key", "other")
-            pairs = pairs.join(done, ["key", "other"], "left_anti")
-        pairs = settle(pairs)
+        pairs = settle(pairs.withColumn("ends", ends).groupBy("ends").agg(F.min(F.struct("key", "other")).alias("p")).select("p.key", "p.other"))
         full = pairs.join(held, "key").join(held.select(F.col("key").alias("other"), F.col("text").alias("other_text")), "other")
         found = settle(verify(full.select("key", "text", "other", "other_text")))
-        if found.isEmpty():
+        links = found.count()
+        if links:
+            labels = settle(components(labels.toDF("a", "b").union(found)))
+        start, size = start + size, 4 * size
+        if start >= 5 and links < MIN_YIELD * pairs.count():
+            return labels
+        now = placed.select("band", "key").join(labels, placed["key"] == labels["node"], "left").select(
+            "band", "key", F.coalesce("root", "key").alias("root"))
+        now = settle(now)
+        bands = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+        # what is left to compare: several components, and nodes that were not compared with all others
+        bands = settle(bands.filter((F.col("low") != F.col("high")) & (F.col("n") > start + 1)).select("band"))
+        placed = settle(now.join(bands, "band"))
+        if placed.isEmpty():
             return labels
-        labels = components(labels.toDF("a", "b").union(found))
-        compared = pairs if compared is None else compared.union(pairs)
-        round_ += 1
 
 
 def in_bloom(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -16,8 +16,8 @@ from pagetables.llm.components import bloom, in_bloom, link
 SHINGLE = 8
 THRESHOLD = 0.8
 #: Lines of fewer characters are never removed.
-MIN_CHARS = 20
-BANDS, ROWS = 9, 3
+MIN_CHARS = 20  # SHINGLE at least
+BANDS, ROWS = 8, 3
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -27,77 +27,105 @@ _MASKS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 def eligible(texts: nt.Texts, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, line number, start, end (trimmed of ASCII white space) and key of each line long enough."""
     data, starts = texts.data, texts.starts
-    lines = nt.spans(data != 0x0A, starts)
-    text = np.repeat(np.arange(len(starts) - 1), np.diff(lines.first))
-    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-    number = breaks[lines.start] - breaks[starts[text]]
-    printed = np.concatenate([[0], np.cumsum(nt.PRINTED[data])])
-    places = np.flatnonzero(nt.PRINTED[data])
-    some = printed[lines.end] > printed[lines.start]
-    text, number, start, end = text[some], number[some], lines.start[some], lines.end[some]
-    start, end = places[printed[start]], places[printed[end] - 1] + 1
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    long = chars[end] - chars[start] >= min_chars
+    feeds = np.flatnonzero(data == 0x0A)
+    start = np.union1d(starts[:-1], feeds + 1)
+    start = start[start < len(data)]
+    text = np.searchsorted(starts, start, "right") - 1
+    end = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, start)], starts[text + 1])
+    number = np.searchsorted(feeds, start) - np.searchsorted(feeds, starts[text])
+    long = end - start >= min_chars
     text, number, start, end = text[long], number[long], start[long], end[long]
+    for edge, step in ((start, 1), (end, -1)):
+        while True:
+            blank = np.flatnonzero((start < end) & ~nt.PRINTED[data[np.minimum(edge - (step < 0), len(data) - 1)]])
+            if not len(blank):
+                break
+            edge[blank] += step
+    long = end - start >= min_chars
+    text, number, start, end = text[long], number[long], start[long], end[long]
+    if len(start):
+        heads = (data & 0xC0) != 0x80
+        edges = np.column_stack([start, end]).ravel()
+        chars = np.add.reduceat(heads, edges[:-1] if edges[-1] == len(data) else edges, dtype=np.int64)[::2]
+        long = chars >= min_chars
+        text, number, start, end = text[long], number[long], start[long], end[long]
     return text, number, start, end, nt.run_hashes(data, start, end)
 
 
-def shingle_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the character shingles of each run of bytes, and where each run's begin.
-
-    A run of fewer than `size` characters is one shingle. Every run must hold a character.
-    """
-    heads = np.flatnonzero((data & 0xC0) != 0x80)
-    first, last = np.searchsorted(heads, start), np.searchsorted(heads, end)
-    counts = np.maximum(last - first - size + 1, 1)
-    offsets = np.concatenate([[0], np.cumsum(counts)])
-    run = np.repeat(np.arange(len(start)), counts)
-    at = first[run] + np.arange(len(run)) - offsets[:-1][run]
-    stop = np.append(heads, len(data))[np.minimum(at + size, last[run])]
-    stop = np.minimum(stop, end[run])
-    out = np.empty(len(run), np.uint64)
-    step = 1 << 20
-    for a in range(0, len(run), step):
-        s, e = heads[at[a:a + step]], stop[a:a + step]
-        low = s[0]
-        prefix = nt.prefix_hash(data[low:e[-1]])
-        out[a:a + step] = nt.span_hash(prefix, s - low, e - low)
-    return out, offsets
-
-
-def signature_bands(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """BANDS keys for each run of hashes: ROWS minima of its MinHash signature each."""
-    small = (hashes >> np.uint64(32)).astype(np.uint32)
-    bands = np.empty((len(offsets) - 1, BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(offsets) - 1, np.uint64(b + 1))
-        for r in range(b * ROWS, (b + 1) * ROWS):
-            key = nt.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((small ^ _MASKS[r]) * _FACTORS[r], offsets[:-1]).astype(np.uint64))
-        bands[:, b] = key
+def window_hashes(data: np.ndarray, heads: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """64-bit hash of the `size` characters from each character on, over all of data. heads: where characters begin."""
+    count = len(heads) - size + 1
+    if count <= 0:
+        return np.empty(0, np.uint64)
+    begin = heads[:count]
+    stop = np.empty(count, heads.dtype)
+    stop[:-1], stop[-1] = heads[size:], len(data)
+    plain = stop - begin == 8
+    # eight bytes are a number of their own; longer windows are hashed
+    numbers = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+    out = nt.mix(numbers[np.minimum(begin, len(data) - 8)])
+    other = np.flatnonzero(~plain)
+    if len(other):
+        out[other] = nt.span_hash(nt.prefix_hash(data), begin[other], stop[other])
+    return out
+
+
+def signature_bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """BANDS keys for each run of bytes, of SHINGLE characters at least: ROWS minima of its MinHash signature each."""
+    bands = np.empty((len(start), BANDS), np.uint64)
+    cuts = np.append(np.searchsorted(start, np.arange(0, len(data), step)), len(start))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a == b:
+            continue
+        piece = data[start[a]:end[b - 1]]
+        heads = np.flatnonzero((piece & 0xC0) != 0x80)
+        edges = np.column_stack([np.searchsorted(heads, start[a:b] - start[a]), np.searchsorted(heads, end[a:b] - start[a]) - SHINGLE + 1]).ravel()
+        small = (window_hashes(piece, heads) >> np.uint64(32)).astype(np.uint32)
+        edges = edges[:-1] if edges[-1] >= len(small) else edges
+        for band in range(BANDS):
+            key = np.full(b - a, np.uint64(band + 1))
+            for r in range(band * ROWS, (band + 1) * ROWS):
+                least = np.minimum.reduceat((small ^ _MASKS[r]) * _FACTORS[r], edges)[::2]
+                key = nt.mix(key * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
+            bands[a:b, band] = key
     return bands
 
 
-def _shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, shingle) of a column of texts: a key made of both, and the row."""
-    keys, rows, base = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
-    for texts in nt.chunks(column):
-        full = np.flatnonzero(np.diff(texts.starts) > 0)
-        if len(full):
-            hashes, offsets = shingle_hashes(texts.data, texts.starts[:-1][full], texts.starts[1:][full])
-            row = np.repeat(full + base, np.diff(offsets))
-            keys.append(hashes ^ nt.mix(row.astype(np.uint64)))
-            rows.append(row)
-        base += len(texts.starts) - 1
-    key, first = np.unique(np.concatenate(keys), return_index=True)
-    return key, np.concatenate(rows)[first]
+def _shingles(column: pa.Array) -> np.ndarray:
+    """Sorted distinct shingles of a column of at most 65,536 texts: the row in the top 16 bits, then 48 bits of the
+    hash. A text of fewer than SHINGLE characters is one shingle, an empty one has none."""
+    parts, base = [np.empty(0, np.uint64)], 0
+    for texts in nt.chunks(column, 1 << 18):
+        data, starts = texts.data, texts.starts
+        n = len(starts) - 1
+        heads = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.searchsorted(heads, starts)
+        counts = np.diff(first)
+        row = np.repeat(np.arange(n), counts)
+        inside = np.arange(len(heads)) <= (first[1:] - SHINGLE)[row]
+        at = np.flatnonzero(inside)
+        short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+        hashes = np.concatenate([window_hashes(data, heads)[at] if len(at) else np.empty(0, np.uint64), nt.run_hashes(data, starts[:-1][short], starts[1:][short])])
+        owner = np.concatenate([row[at], short]) + base
+        parts.append(hashes >> np.uint64(16) | owner.astype(np.uint64) << np.uint64(48))
+        base += n
+    return _distinct(np.sort(np.concatenate(parts)))
+
+
+def _distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def _by_row(keys: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=n)
 
 
 def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Exact similarity of the shingle sets of two columns of texts, row by row. Two empty texts are equal."""
-    (a, rows), (b, others) = _shingles(left), _shingles(right)
-    n = len(left)
-    common = np.bincount(rows[np.isin(a, b, assume_unique=True)], minlength=n)
-    total = np.bincount(rows, minlength=n) + np.bincount(others, minlength=n) - common
+    """Similarity of the shingle sets of two columns of texts, row by row. Two empty texts are equal."""
+    a, b, n = _shingles(left), _shingles(right), len(left)
+    both = np.sort(np.concatenate([a, b]))
+    common = _by_row(both[1:][both[1:] == both[:-1]], n)
+    total = _by_row(a, n) + _by_row(b, n) - common
     return np.where(total > 0, common / np.maximum(total, 1), 1.0)
 
 
@@ -123,7 +151,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
                 # equal lines of one piece of work share a sketch; one row of them carries it
                 _, first = np.unique(keys, return_index=True)
                 first.sort()
-                bands = signature_bands(*shingle_hashes(texts.data, start[first], end[first]))
+                bands = signature_bands(texts.data, start[first], end[first])
                 counts = np.zeros(len(keys), np.int64)
                 counts[first] = BANDS
                 ids = batch.column(0).slice(texts.rows.start).take(pa.array(text))
@@ -163,6 +191,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (Jaccard of their character shingles is threshold or more) or not; of each component of similar lines, the
     one with the smallest id, then line, stays. of_id and of_line say which.
     """
+    min_chars = max(min_chars, SHINGLE)
     lines = settle(line_table(docs, id_col, text_col, min_chars))
     firsts = lines.groupBy("key").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     firsts = settle(firsts)
@@ -201,5 +230,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), numbers)
     left = F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
     text = F.when(F.col("removed").isNull(), F.col(f"row.`{text_col}`")).otherwise(left)
+    whole = F.col(f"row.`{text_col}`")
+    feeds = F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit("")))
     return joined.select(
-        F.col("row").withField(f"`{text_col}`", text).alias("row"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), "removed")
+        F.col("row").withField(f"`{text_col}`", text).alias("row"), F.coalesce(feeds + 1, F.lit(0)).alias("n_lines"), "removed")
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+                           min_chars: int = MIN_CHARS) -> DataFrame:
+    """dedup_lines as a filter: the columns of docs, without rows that lost lines and have no text left."""
+    found = dedup_lines(docs, id_col, text_col, threshold, min_chars)
+    left = F.col("removed").isNull() | F.col(f"row.`{text_col}`").rlike(r"[^\s]")
+    return found.filter(left).select("row.*")
