@@ -224,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
     result = current
     for part in done:
         result = result.unionByName(part)
-    return result
+    return result.select(*pieces.columns, "sequence_id", "offset", "certified")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
