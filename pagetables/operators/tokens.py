@@ -63,11 +63,12 @@ def _pairs(toks: DataFrame) -> DataFrame:
     )
     toks = toks.withColumn("step", F.when(self_contained, 0).when(is_close, -1).otherwise(1))
     by_tag = W.partitionBy("page_id", "tag").orderBy("i")
-    toks = toks.withColumn(
-        "level",
-        F.sum("step").over(by_tag.rowsBetween(W.unboundedPreceding, 0))
+    next_same = F.struct(F.col("i"), F.col("is_close"))
+    toks = toks.withColumns({
+        "level": F.sum("step").over(by_tag.rowsBetween(W.unboundedPreceding, 0))
         + F.when(F.col("step") == -1, 1).otherwise(0),
-    )
+        "next_same": F.lead(next_same).over(by_tag),
+    })
     by_level = W.partitionBy("page_id", "tag", "level").orderBy("i")
     opens, closes = F.col("step") == 1, F.col("step") == -1
     return toks.withColumns({
@@ -85,7 +86,8 @@ def _next(value: str, partition: list[str]) -> Column:
 def nodes(toks: DataFrame) -> DataFrame:
     """+ end: for each open tag the i of the last token of its subtree.
 
-    An element ends at its own end tag, but no later than the container it stands in; an
+    An element ends at its own end tag, but no later than the container it stands in; a link or
+    a button also ends before the next one, as they do not nest; an
     element whose end tag may be left out (p, li, dt, dd, td, th, tr, tbody, thead, tfoot,
     option) also ends before what implies its end.
     """
@@ -138,6 +140,10 @@ def nodes(toks: DataFrame) -> DataFrame:
         .when(tag.isin(*fixed.CELL_TAGS), F.col("cell_end"))
         .when(tag == "tr", F.col("row_end"))
         .when(tag.isin(*fixed.SECTION_TAGS), F.col("section_end"))
+        .when(
+            tag.isin("a", "button"),
+            F.col("next_same.i") - F.when(F.col("next_same.is_close"), 0).otherwise(1),
+        )
         .otherwise(F.col("pair"))
     )
     container = F.when(F.col("close_end") == F.col("pair"), F.col("pair")).otherwise(
@@ -148,7 +154,7 @@ def nodes(toks: DataFrame) -> DataFrame:
         .when(tag.isin("html", "body") & ~is_close, F.lit(PAGE_END))
         .when(~tag.startswith("#") & ~is_close, i)
     )
-    helpers = ["step", "level", "pair", "depth_step", "depth", "p_mark", "p_end"]
+    helpers = ["step", "level", "next_same", "pair", "depth_step", "depth", "p_mark", "p_end"]
     helpers += [f"{m}_mark" for m in marks] + [f"{m}_end" for m in marks]
     return toks.withColumn("end", end).drop(*helpers)
 

@@ -62,6 +62,7 @@ CASES = {
     "body_start": "<html><head><title>Title</title></head><body>in</body></html>after",
     "no_body": "<title>T</title><p>first",
     "stray": page('<p title="a > b">1 < 2 <3 & 4<!-- c -->5<br/>6'),
+    "nested_links": page("<a href=/1>one<a href=/2>two</a><p><button>a<button>b</button></button>c"),
     "zeros": page("<p>&#x000000041;&#00000000065;&#x110000;&#99999999999999999999;"),
     "all_names": page("<p>&check;&phone;&notit;&NotEqualTilde;<a href='/?a=1&copy=2&check;'>x</a>"),
     "text_nodes": page("<p>a</b>b</p>c<!-- x -->d</p>e<script>s</script>f<!doctype x>g"),
@@ -157,6 +158,9 @@ def test_text(result):
     assert result["no_body"]["visible_text"] == "first"
     assert result["stray"]["visible_text"] == "a > b\n1 < 2 <3 & 4\n5\n6"
     assert result["entities"]["visible_text"] == "<ééé€&nope;© �'"
+    nested = result["nested_links"]
+    assert [(x["text"], x["href"]) for x in nested["links"]] == [("one", "/1"), ("two", "/2")]
+    assert texts(nested["buttons"]) == ["a", "b"]
     assert result["zeros"]["visible_text"] == "AA\ufffd\ufffd"
     assert result["all_names"]["visible_text"] == "✓☎¬it;≂̸\nx"
     assert result["all_names"]["links"][0]["href"] == "/?a=1&copy=2✓"
