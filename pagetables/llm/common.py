@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+#: Arrow batches of this size at most, where the session says nothing else: whole texts are held twice.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
     """Gives this package to the session's Python workers, which may not have it on their path."""
+    if ARROW_BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*ARROW_BATCH)
     if spark.sparkContext.applicationId not in _shipped:
         _shipped.add(spark.sparkContext.applicationId)
         root = Path(__file__).resolve().parents[1]

@@ -19,7 +19,7 @@ from pagetables.llm import numtext as nt
 from pagetables.llm.common import cut
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Benchmark words that one pass over the documents looks up; 8 bytes each are broadcast.
 BLOCK_WORDS = 2_000_000
 

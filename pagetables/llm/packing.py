@@ -18,7 +18,7 @@ from pagetables.llm.common import cut
 CAPACITY = 2048
 PIECES_PER_PARTITION = 5_000
 ROUNDS = 4
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 PLACED = "sequence_id long, offset long, certified boolean"
 
