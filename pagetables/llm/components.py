@@ -22,11 +22,17 @@ BLOOM_WORDS = 1 << 18
 #: Links in a round, as a share of its comparisons, below which no further round is made.
 MIN_YIELD = 0.01
 
+#: Edges that one task of union-find takes, 16 bytes each.
+EDGES_PER_TASK = 500_000
+
 EDGES = "a long, b long"
 
 
 def _union(edges: DataFrame) -> DataFrame:
-    """Union-find over the edges of each partition: its components as stars (node, smallest node)."""
+    """Union-find over the distinct edges of each partition of EDGES_PER_TASK: its components as stars
+    (node, smallest node)."""
+    tasks = -(-edges.count() // EDGES_PER_TASK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if not parts:
@@ -48,7 +54,7 @@ def _union(edges: DataFrame) -> DataFrame:
             root[x] = root[parent[x]]
         far = np.flatnonzero(root != np.arange(len(nodes)))
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["a", "b"])
-    return edges.mapInArrow(run, EDGES)
+    return edges.distinct().coalesce(max(1, tasks)).mapInArrow(run, EDGES)
 
 
 def _is_forest(edges: DataFrame) -> bool:
@@ -69,14 +75,14 @@ def components(edges: DataFrame) -> DataFrame:
     a partial aggregate, and the joins are between plain exchanges, which Spark splits for hubs.
     """
     links = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current = settle(_union(links.distinct()))
+    current = settle(_union(links))
     while not _is_forest(current):
         both = current.union(current.select("b", "a"))
         least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = settle(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         star = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        current = settle(_union(star.distinct()))
+        current = settle(_union(settle(star)))
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
 
 
@@ -116,9 +122,9 @@ def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: C
     in several rows. texts(keys) gives key, text for the keys that are in shared bands.
     verify(pairs) takes key, text, other, other_text and returns the pairs (a, b) that are linked.
 
-    The nodes of a band are put in the order of a hash. In round k, the next 4^k of each band with
+    The nodes of a band are put in the order of a hash. In round k, the next 2^k of each band with
     nodes of several components are compared with all its nodes outside their components. So a band of
-    up to 6 nodes is compared in full in the first two rounds, one of 22 in three, and so
+    up to 4 nodes is compared in full in the first two rounds, one of 8 in three, and so
     on. The search ends when no band has nodes left to compare, or after a round, the second or
     later, in which fewer than MIN_YIELD of the comparisons gave a link.
     """
@@ -139,8 +145,8 @@ def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: C
         links = found.count()
         if links:
             labels = settle(components(labels.toDF("a", "b").union(found)))
-        start, size = start + size, 4 * size
-        if start >= 5 and links < MIN_YIELD * pairs.count():
+        start, size = start + size, 2 * size
+        if start >= 3 and links < MIN_YIELD * pairs.count():
             return labels
         now = placed.select("band", "key").join(labels, placed["key"] == labels["node"], "left").select(
             "band", "key", F.coalesce("root", "key").alias("root"))
