@@ -19,8 +19,13 @@ from pagetables.llm.common import settle
 #: keys it lets more through, and the exact join after it drops them.
 BLOOM_WORDS = 1 << 18
 
-#: Links in a round, as a share of its comparisons, below which no further round is made.
+#: Links in a round, as a share of its comparisons, below which no further round of leaders is made and
+#: the bands that are left are searched by the exact join.
 MIN_YIELD = 0.01
+#: Up to this many nodes outside a band's largest component are compared with the whole band as they are.
+DIRECT = 8
+#: Counters of shingles that order them from rare to frequent for the exact join.
+COUNTERS = 1 << 18
 
 #: Edges that one task of union-find takes, 16 bytes each.
 EDGES_PER_TASK = 500_000
@@ -115,39 +120,119 @@ def _members(sketches: DataFrame) -> DataFrame:
     return settle(sketches.select("key", "bands").mapInArrow(run, "band long, key long").join(shared, "band").distinct())
 
 
-def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Row, shingle and weight of each distinct shingle of a column of texts.
+Shingles = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(batch), 500):
+        yield batch.slice(at, 500)
+
+
+def prefixes(rows: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:
+    """key, token and w (weight of the whole text) for the tokens in the prefix of each text of rows (key, text).
+
+    The shingles of all texts are put in one order, about from rare to frequent. A prefix ends where what comes
+    after it weighs less than threshold of the text; so two texts of that similarity have a token of both
+    prefixes in common, whatever the order is.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for piece in _pieces(batch):
+                total += np.bincount((shingles(piece.column(0))[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
+    found = rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["at"].to_numpy()] = found["n"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                row, token, weight = shingles(piece.column(1))
+                order = np.lexsort((token, shared.value[(token % np.uint64(COUNTERS)).astype(np.int64)], row))
+                row, token, weight = row[order], token[order], weight[order]
+                w = np.bincount(row, weight, len(piece))
+                # weight from each token on to the end of its text
+                before = np.cumsum(weight) - weight
+                first = np.searchsorted(row, np.arange(len(piece)))
+                rest = w[row] - (before - before[first[row]]) if len(row) else weight
+                near = rest >= threshold * w[row] * (1 - 1e-9)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(0).take(pa.array(row[near])), pa.array(token[near].view(np.int64)), pa.array(w[row[near]])], names=["key", "token", "w"])
+    return rows.select("key", "text").mapInArrow(run, "key long, token long, w double")
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair of key and other once, whichever way round."""
+    ends = F.struct(F.least("key", "other"), F.greatest("key", "other"))
+    return pairs.withColumn("ends", ends).groupBy("ends").agg(F.min(F.struct("key", "other")).alias("p")).select("p.key", "p.other")
+
+
+def _rest(placed: DataFrame, held: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:
+    """key and other: all pairs of different components of placed (band, key, root) that share a band and can have a
+    similarity of threshold, and perhaps more.
+
+    One node of such a pair is outside the band's largest component. Where those are few, they are compared
+    with the whole band; else only with nodes that have a prefix token in common and are of like weight.
+    """
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    sizes = sizes.select("band", F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("outside"))
+    rows = settle(placed.join(sizes, "band"))
+    few = rows.filter(F.col("outside") <= DIRECT)
+    leaders = few.filter("root <> top").select("band", F.col("key").alias("other"), F.col("root").alias("its"))
+    direct = few.join(leaders, "band").filter("root <> its").select("key", "other")
+    many = settle(rows.filter(F.col("outside") > DIRECT).groupBy("key").agg(
+        F.min("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("leads")))
+    if many.isEmpty():
+        return _once(direct)
+    tokens = prefixes(held.join(many.select("key"), "key"), shingles, threshold)
+    tokens = settle(tokens.join(many, "key"))
+    leaders = tokens.filter("leads").select("token", F.col("key").alias("other"), F.col("root").alias("its"), F.col("w").alias("v"))
+    like = F.least("w", "v") >= F.greatest("w", "v") * (threshold * (1 - 1e-9))
+    return _once(direct.union(tokens.join(leaders, "token").filter("root <> its").filter(like).select("key", "other")))
+
+
+def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame],
+         shingles: Shingles, threshold: float) -> DataFrame:
     """Components of the nodes that verified links join: node, root (all but the roots).
 
     sketches: key, bands (array of long; nodes with a band in common may be linked); a key may stand
     in several rows. texts(keys) gives key, text for the keys that are in shared bands.
     verify(pairs) takes key, text, other, other_text and returns the pairs (a, b) that are linked.
 
+    shingles gives the weighted sets whose Jaccard similarity verify holds against threshold.
+
     The nodes of a band are put in the order of a hash. In round k, the next 2^k of each band with
     nodes of several components are compared with all its nodes outside their components. So a band of
     up to 4 nodes is compared in full in the first two rounds, one of 8 in three, and so
-    on. The search ends when no band has nodes left to compare, or after a round, the second or
-    later, in which fewer than MIN_YIELD of the comparisons gave a link.
+    on. After a round, the second or later, in which fewer than MIN_YIELD of the comparisons gave a
+    link, all pairs that are left are searched at once by _rest(). So any two nodes of a band that
+    verify() links are in one component in the end.
     """
     members = _members(sketches)
     held = settle(texts(members.select("key").distinct()))
     labels = settle(sketches.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("root")))
     placed, start, size = members.withColumn("root", F.col("key")), 0, 1
+
+    def compared(pairs: DataFrame) -> tuple[DataFrame, int]:
+        full = pairs.join(held, "key").join(held.select(F.col("key").alias("other"), F.col("text").alias("other_text")), "other")
+        found = settle(verify(full.select("key", "text", "other", "other_text")))
+        return found, found.count()
     order = Window.partitionBy("band").orderBy(F.xxhash64("key"), "key")
     while True:
         leaders = placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= start + size).filter(F.col("rank") > start)
         leaders = leaders.select("band", F.col("key").alias("other"), F.col("root").alias("its"))
         pairs = placed.join(leaders, "band").filter("root <> its").select("key", "other")
-        # two leaders meet both ways
-        ends = F.struct(F.least("key", "other"), F.greatest("key", "other"))
-        pairs = settle(pairs.withColumn("ends", ends).groupBy("ends").agg(F.min(F.struct("key", "other")).alias("p")).select("p.key", "p.other"))
-        full = pairs.join(held, "key").join(held.select(F.col("key").alias("other"), F.col("text").alias("other_text")), "other")
-        found = settle(verify(full.select("key", "text", "other", "other_text")))
-        links = found.count()
+        pairs = settle(_once(pairs))  # two leaders meet both ways
+        found, links = compared(pairs)
         if links:
             labels = settle(components(labels.toDF("a", "b").union(found)))
         start, size = start + size, 2 * size
-        if start >= 3 and links < MIN_YIELD * pairs.count():
-            return labels
+        last = start >= 3 and links < MIN_YIELD * pairs.count()
         now = placed.select("band", "key").join(labels, placed["key"] == labels["node"], "left").select(
             "band", "key", F.coalesce("root", "key").alias("root"))
         now = settle(now)
@@ -157,6 +242,9 @@ def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: C
         placed = settle(now.join(bands, "band"))
         if placed.isEmpty():
             return labels
+        if last:
+            found, links = compared(settle(_rest(placed, held, shingles, threshold)))
+            return settle(components(labels.toDF("a", "b").union(found))) if links else labels
 
 
 def in_bloom(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:

@@ -120,6 +120,12 @@ def _by_row(keys: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((keys >> np.uint64(48)).astype(np.int64), minlength=n)
 
 
+def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, shingle and weight (1) of the shingles that jaccard() compares."""
+    keys = _shingles(column)
+    return (keys >> np.uint64(48)).astype(np.int64), keys & np.uint64((1 << 48) - 1), np.ones(len(keys))
+
+
 def jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Similarity of the shingle sets of two columns of texts, row by row. Two empty texts are equal."""
     a, b, n = _shingles(left), _shingles(right), len(left)
@@ -198,7 +204,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = link(
         lines.filter(F.size("bands") > 0).select("key", "bands"),
         lambda keys: line_texts(docs, id_col, text_col, min_chars, firsts, keys),
-        lambda pairs: verified(pairs, threshold))
+        lambda pairs: verified(pairs, threshold), shingle_sets, threshold)
     # roots of components are not in labels; they keep themselves
     roots = labels.select(F.col("root").alias("node"), "root").distinct()
     linked = labels.union(roots).select(F.col("node").alias("key"), "root")

@@ -133,3 +133,37 @@ def test_bloom_filter_has_all_its_keys(spark):
     filter_ = components.bloom(spark.createDataFrame([(int(k),) for k in keys], "key long"))
     assert components.in_bloom(filter_, keys).all()
     assert components.in_bloom(filter_, rng.integers(-(1 << 62), 1 << 62, 3000)).mean() < 0.01
+
+
+def pairs_in_one_band(spark, n):
+    """Components of n pairs of like lines that all stand in one band, by lines."""
+    rng = random.Random(5)
+    # cheap false candidates: all lines have a passage in common
+    lines = ["the passage that all of these lines have " + "".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(n)]
+    lines += [x[:60] + "XY" + x[62:] for x in lines]
+    keyed = spark.createDataFrame([(rng.getrandbits(62), x) for x in lines], "key long, text string").persist()
+    root = {r.key: r.key for r in keyed.collect()}
+    labels = components.link(
+        keyed.selectExpr("key", "array(7L) AS bands"), lambda keys: keyed.join(keys, "key"),
+        lambda pairs: linededup.verified(pairs, 0.8), linededup.shingle_sets, 0.8)
+    root |= {r.node: r.root for r in labels.collect()}
+    return lines, {r.text: root[r.key] for r in keyed.collect()}
+
+
+def test_all_pairs_of_a_big_band_are_linked(spark):
+    lines, root = pairs_in_one_band(spark, 150)
+    assert all(root[a] == root[b] for a, b in zip(lines[:150], lines[150:], strict=True))
+    assert len(set(root.values())) == 150
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_prefixes_lose_no_pair(spark, threshold):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("ab é") for _ in range(60)) for _ in range(30)]
+    texts = sorted({b[:k] + b[k + rng.randrange(1, 9):] for b in base for k in (2, 5, 30, 52, 57)} | {"", "short"})
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    found = {}
+    for r in components.prefixes(rows, linededup.shingle_sets, threshold).collect():
+        found.setdefault(r.key, set()).add(r.token)
+    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] and similar(texts[i], texts[j]) >= threshold]
+    assert len(near) > 50 and all(found[i] & found[j] for i, j in near)
