@@ -17,7 +17,7 @@ SHINGLE = 8
 THRESHOLD = 0.8
 #: Lines of fewer characters are never removed.
 MIN_CHARS = 20  # SHINGLE at least
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 9, 3
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)

@@ -167,3 +167,25 @@ def test_prefixes_lose_no_pair(spark, threshold):
         found.setdefault(r.key, set()).add(r.token)
     near = [(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] and similar(texts[i], texts[j]) >= threshold]
     assert len(near) > 50 and all(found[i] & found[j] for i, j in near)
+
+
+def test_recall_at_the_threshold_through_link(spark):
+    rng = random.Random(7)
+    pairs = []
+    while len(pairs) < 4000:
+        a = "".join(rng.choice("abcdefgh ") for _ in range(100))
+        at = rng.randrange(10, 85)
+        b = a[:at] + "XYZ" + a[at + 3:]
+        if 0.8 <= similar(a, b) < 0.82:
+            pairs.append((a, b))
+    lines = [x for p in pairs for x in p]
+    texts = next(nt.chunks(pa.array(lines)))
+    bands = linededup.signature_bands(texts.data, texts.starts[:-1], texts.starts[1:]).view(np.int64).tolist()
+    df = spark.createDataFrame([(k, x, b) for k, (x, b) in enumerate(zip(lines, bands, strict=True))], "key long, text string, bands array<long>").persist()
+    labels = components.link(
+        df.select("key", "bands"), lambda keys: df.select("key", "text").join(keys, "key"),
+        lambda pairs: linededup.verified(pairs, 0.8), linededup.shingle_sets, 0.8)
+    root = {r.node: r.root for r in labels.collect()}
+    recall = sum(root.get(k, k) == root.get(k + 1, k + 1) for k in range(0, len(lines), 2)) / len(pairs)
+    print(f"recall {recall}")
+    assert recall > 0.9977  # eight bands: 0.997
