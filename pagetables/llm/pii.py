@@ -204,15 +204,15 @@ def surrogate(key: bytes, kind: str, entity: str, gender: str = "n", attempt: in
         return fixed + same_format(key, tweak, entity[len(fixed):], hexes or _CLASSES)
     if kind == "person":
         script, words = _script(entity), entity.split(" ")
-        family = _family(key, f"{tweak}|{script}", words[-1], script)
+        family = _family(key, f"{tweak}|{script}", words[-1], script, 3 + attempt)
         pool = GIVEN[script, gender]
         return " ".join([*(pool[_round(key, f"{tweak}|given|{w}") % len(pool)] for w in words[:-1]), family])
     return same_format(key, tweak, entity)
 
 
-def _family(key: bytes, tweak: str, name: str, script: str) -> str:
+def _family(key: bytes, tweak: str, name: str, script: str, size: int) -> str:
     parts, value = SYLLABLES[script], _round(key, f"{tweak}|family|{name}")
-    return "".join(parts[value // len(parts) ** i % len(parts)] for i in range(3)).capitalize()
+    return "".join(parts[value // len(parts) ** i % len(parts)] for i in range(size)).capitalize()
 
 
 def dressed(kind: str, text: str, plain: str) -> str:
@@ -234,7 +234,7 @@ def gender_of(text: str, start: int) -> str:
 
 
 def _rows(text: str) -> list[tuple[str, int, int, str, str]]:
-    return [(k, s, e, canonical(k, text[s:e]), gender_of(text, s) if k == "person" else "n") for k, s, e in detect(text)]
+    return [(k, s, e, canonical(k, text[s:e]), gender_of(text, s) if k == "person" and " " in canonical(k, text[s:e]) else "n") for k, s, e in detect(text)]
 
 
 FOUND = "struct<kind:string,start:int,end:int,entity:string,gender:string>"
@@ -256,7 +256,9 @@ def redrawn(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
 
     entities: kind, gender, entity, distinct. A surrogate will not do if it equals an entity of
     its kind, or if another entity with the same surrogate comes first. These draw again
-    until none is left; after `rounds` draws it raises.
+    until none is left. Family names grow by a syllable with each draw, so there are enough of them for any
+    number of persons. It raises only if `rounds` draws in a row leave no fewer than before: a format, as that
+    of very short addresses, of which the entities take up nearly all values.
     """
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +268,8 @@ def redrawn(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     schema = "kind string, gender string, entity string, attempt int, made string"
     current = cut(entities.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema))
     originals = entities.select("kind", F.col("entity").alias("made")).distinct()
-    for _ in range(rounds):
+    least, idle = None, 0
+    while idle < rounds:
         first = F.struct("attempt", "entity", "gender")
         winners = current.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min(first).alias("first"))
         shared = winners.filter("n > 1").select("kind", "made", "first")
@@ -275,10 +278,13 @@ def redrawn(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
         again = cut(lost.unionByName(taken).distinct())
         if again.isEmpty():
             return current.filter("attempt > 0").select("kind", "gender", "entity", "attempt")
+        left = again.count()
+        idle = 0 if least is None or left < least else idle + 1
+        least = left if least is None else min(least, left)
         stays = current.join(again.select("kind", "gender", "entity"), ["kind", "gender", "entity"], "left_anti")
         more = again.select("kind", "gender", "entity", (F.col("attempt") + 1).alias("attempt")).mapInArrow(draw, schema)
         current = cut(stays.select("kind", "gender", "entity", "attempt", "made").unionByName(more))
-    raise ValueError("surrogates still collide; the pools are too small for these entities")
+    raise ValueError("surrogates still collide; a format has too few values for these entities")
 
 
 def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", keep: Iterable[str] | None = None,

@@ -89,3 +89,11 @@ def test_collisions_are_drawn_again(spark):
     again = {r.entity: r.attempt for r in pii.redrawn(df, KEY).collect()}
     assert again == {"1.1.1.0": 1}
     assert pii.replace_entities(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_ten_thousand_surnames_get_distinct_surrogates(spark):
+    names = [f"{a}{b}{c}{d}" for a in ("Abo", "Bri", "Cle", "Dro", "Eli", "Fra", "Gri", "Hol", "Ive", "Jor") for b in "aeiouyäöüé" for c in "bdfgklmnpr" for d in ("son", "sen", "ski", "ova", "ert", "ing", "ley", "man", "ton", "ard")]
+    df = spark.createDataFrame([("person", "n", n) for n in names], "kind string, gender string, entity string")
+    again = {r.entity: r.attempt for r in pii.redrawn(df, KEY).collect()}
+    made = {pii.surrogate(KEY, "person", n, "n", again.get(n, 0)) for n in names}
+    assert len(names) == 10_000 and len(made) == len(names) and made.isdisjoint(names)
