@@ -27,6 +27,8 @@ ROUNDS = 8
 #: Redrawn entities are broadcast up to this many; more are joined.
 BROADCAST_ROWS = 50_000
 SALTS = 16
+#: Longest run of characters that one permutation takes.
+PIECE = 512
 
 # Titles that mark a name, by gender.
 TITLES = {
@@ -54,22 +56,32 @@ SYLLABLES = {
 }
 
 _TITLE = "|".join(re.escape(t) for names in TITLES.values() for t in sorted(names, key=len, reverse=True))
-_NAME = r"[^\W\d_a-zа-яα-ω][^\W\d_]+"
+_UPPER = r"[^\W\d_a-zа-яα-ω]"
+_INITIALS = rf"(?:{_UPPER}\.-?)+"
+_NAME = rf"(?:{_UPPER}[^\W\d_]*(?:['’-][^\W\d_]+)+|{_UPPER}[^\W\d_]+)"
+# A line feed may stand after a title or initials; after a full word the next line is another sentence as often as not.
+_GIVEN = rf"(?:{_NAME}[^\S\n]+|{_INITIALS}\s*)"
+#: Titles in capitals need a name in capitals; MS, SR and SIR also mean other things.
+_CAPITALS = "|".join(re.escape(t.upper()) for names in TITLES.values() for t in names if t not in ("Ms", "Sr", "Sir"))
+_LOUD = rf"{_UPPER}(?:{_UPPER}|['’-](?={_UPPER}))+"
+_BEFORE = rf"(?:{_TITLE})\.?\s+|(?:{_CAPITALS})\.?\s+(?=(?:{_INITIALS}\s*)*{_LOUD}(?!\w))"
 PATTERNS: Mapping[str, re.Pattern[str]] = {
     "secret": re.compile(
-        r"""\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b|\bsk-[0-9A-Za-z]{20,64}\b"""
-        r"""|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b["']?\s{0,3}[:=]\s{0,3}["']?)(?=[^\s"']{0,40}\d)([^\s"'<>|]{8,128}?)(?=[.,;!?]?(?:["'\s<>|#*$%&!]|$))"""),
+        r"""\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b|\bsk-[0-9A-Za-z]{20,}\b"""
+        r"""|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b["']?\s{0,3}[:=]\s{0,3}["']?)()"""),  # the value follows
     "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.ASCII),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII),
     "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII),
     "ip": re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)", re.ASCII),
     "ssn": re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])", re.ASCII),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", re.ASCII),
-    "person": re.compile(rf"(?<!\w)(?:{_TITLE})\.? (?:{_NAME} ){{0,2}}{_NAME}"),
+    "person": re.compile(rf"(?<!\w)(?:{_BEFORE})(?:{_GIVEN}){{0,3}}{_NAME}"),
 }
+_VALUE = re.compile(r"""[^\s"'<>|]{8,}?(?=[.,;!?]?(?:["'\s<>|#*$%&!]|$))""")
+_UNTIL_DIGIT = re.compile(r"""[^\s"'\d]*+""")
 #: What a text must hold for a pattern to be tried at all.
 _HINTS = {"secret": re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|(?i:password|passwd|pwd|token|secret|api_?key)"), "email": re.compile("@"),
-          "iban": re.compile(r"[A-Z]{2}\d\d", re.ASCII), "person": re.compile(rf"(?<!\w)(?:{_TITLE})\.? ")}
+          "iban": re.compile(r"[A-Z]{2}\d\d", re.ASCII), "person": re.compile(rf"(?<!\w)(?:{_BEFORE})")}
 _DIGIT = re.compile(r"\d", re.ASCII)
 
 ENTITY = "struct<kind:string,start:int,end:int,text:string,surrogate:string>"
@@ -102,6 +114,39 @@ def _real(kind: str, text: str) -> bool:
     return True
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of secrets. A value after a word like password has a digit before the next space or quote."""
+    done = clear = 0
+    for m in PATTERNS["secret"].finditer(text):
+        if m[1] is None:
+            if m.start() >= done:
+                done = m.end()
+                yield m.span()
+            continue
+        start = m.end()
+        if start < max(done, clear):
+            continue
+        stop = _UNTIL_DIGIT.match(text, start).end()
+        if stop == len(text) or not text[stop].isdecimal():
+            clear = stop
+        elif value := _VALUE.match(text, start):
+            done = value.end()
+            yield value.span()
+
+
+def _mentions(text: str, persons: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of the full and family names of these persons, wherever they stand as whole words."""
+    names: set[str] = set()
+    for start, end in persons:
+        words = text[start:end].split()
+        for name in (words, words[-1:]):
+            names |= {" ".join(name), " ".join(name).upper()}
+    if names:
+        longest = sorted(names, key=lambda n: (-len(n), n))
+        for m in re.finditer(rf"(?<!\w)(?:{'|'.join(re.escape(n).replace(re.escape(' '), r'\s+') for n in longest)})(?!\w)", text):
+            yield m.span()
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
     """Kind, start and end of each entity, in order. Of overlapping ones, the kind named first in
     PATTERNS stays."""
@@ -110,10 +155,11 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     for kind, pattern in PATTERNS.items():
         if not (_HINTS[kind].search(text) if kind in _HINTS else digits):
             continue
-        for m in pattern.finditer(text):
-            start, end = m.span(1) if kind == "secret" and m[1] else m.span()
-            if kind == "person":
-                start = m.start() + re.match(rf"(?:{_TITLE})\.? ", m[0]).end()
+        spans = _secrets(text) if kind == "secret" else (m.span() for m in pattern.finditer(text))
+        if kind == "person":
+            titled = [(s + re.match(_BEFORE, text[s:e + 1]).end(), e) for s, e in spans]
+            spans = [*titled, *_mentions(text, titled)]
+        for start, end in spans:
             if _real(kind, text[start:end]) and not any(s < end and start < e for s, e, _ in found):
                 found.append((start, end, kind))
     return [(k, s, e) for s, e, k in sorted(found)]
@@ -123,6 +169,14 @@ def _round(key: bytes, data: str) -> int:
     return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), key=key[:64], digest_size=16).digest(), "big")
 
 
+def _wide(key: bytes, data: str, bits: int) -> int:
+    """As _round, with as many bits as are asked for."""
+    out = _round(key, data)
+    for i in range(1, -(-bits // 128)):
+        out = out << 128 | _round(key, f"{i}|{data}")
+    return out
+
+
 def permute(key: bytes, tweak: str, value: int, size: int) -> int:
     """A keyed permutation of 0..size-1: a Feistel network on two halves, walked until inside."""
     if size < 2:
@@ -132,7 +186,7 @@ def permute(key: bytes, tweak: str, value: int, size: int) -> int:
     while True:
         left, right = value >> half, value & mask
         for i in range(6):
-            left, right = right, left ^ (_round(key, f"{tweak}|{i}|{right}") & mask)
+            left, right = right, left ^ (_wide(key, f"{tweak}|{i}|{right}", half) & mask)
         value = left << half | right
         if value < size:
             return value
@@ -144,6 +198,13 @@ _CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVW
 def same_format(key: bytes, tweak: str, text: str, classes: Iterable[str] = tuple(_CLASSES)) -> str:
     """Each letter or digit by one of its class; everything else as it is. One to one for each format."""
     classes = list(classes)
+    if len(text) > PIECE:
+        # piece by piece, each under what stands before it: still one to one, and linear for a text of any length
+        out, before = [], ""
+        for at in range(0, len(text), PIECE):
+            out.append(same_format(key, f"{tweak}|{len(text)}|{before}", text[at:at + PIECE], classes))
+            before = f"{_round(key, f'{before}|{text[at:at + PIECE]}'):x}"
+        return "".join(out)
     own = [next((k for k in classes if c in k), None) for c in text]
     value, size = 0, 1
     for c, k in zip(text, own, strict=True):
@@ -168,6 +229,8 @@ def canonical(kind: str, text: str) -> str:
         return text.replace(" ", "").upper()
     if kind == "email":
         return text.lower()
+    if kind == "person":
+        return " ".join(unicodedata.normalize("NFC", text).lower().split())
     return unicodedata.normalize("NFC", text)
 
 
@@ -206,7 +269,8 @@ def surrogate(key: bytes, kind: str, entity: str, gender: str = "n", attempt: in
         script, words = _script(entity), entity.split(" ")
         family = _family(key, f"{tweak}|{script}", words[-1], script, 3 + attempt)
         pool = GIVEN[script, gender]
-        return " ".join([*(pool[_round(key, f"{tweak}|given|{w}") % len(pool)] for w in words[:-1]), family])
+        given = [(w, pool[_round(key, f"{tweak}|given|{w}") % len(pool)]) for w in words[:-1]]
+        return " ".join([*(name[0] + "." if w.endswith(".") else name for w, name in given), family])
     return same_format(key, tweak, entity)
 
 
@@ -229,12 +293,18 @@ def dressed(kind: str, text: str, plain: str) -> str:
 
 
 def gender_of(text: str, start: int) -> str:
-    before = text[max(0, start - 12):start]
-    return next((g for g, names in TITLES.items() if re.search(rf"(?<!\w)(?:{'|'.join(map(re.escape, names))})\.? $", before)), "n")
+    before = text[:start].rstrip()[-12:]
+    return next((g for g, names in TITLES.items() if re.search(rf"(?<!\w)(?i:{'|'.join(map(re.escape, names))})\.?$", before)), "n")
 
 
 def _rows(text: str) -> list[tuple[str, int, int, str, str]]:
-    return [(k, s, e, canonical(k, text[s:e]), gender_of(text, s) if k == "person" and " " in canonical(k, text[s:e]) else "n") for k, s, e in detect(text)]
+    rows = [(k, s, e, canonical(k, text[s:e])) for k, s, e in detect(text)]
+    genders: dict[str, str] = {}
+    for k, s, _, entity in rows:
+        # a family name alone shows no gender; further mentions have that of the title
+        if k == "person" and genders.get(entity, "n") == "n":
+            genders[entity] = gender_of(text, s) if " " in entity else "n"
+    return [(*r, genders[r[3]] if r[0] == "person" else "n") for r in rows]
 
 
 FOUND = "struct<kind:string,start:int,end:int,entity:string,gender:string>"
@@ -262,7 +332,7 @@ def redrawn(entities: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     """
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [surrogate(key, k, e, g, a) for k, g, e, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            made = [canonical(k, surrogate(key, k, e, g, a)) for k, g, e, a in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "gender", "entity", "attempt", "made"])
 
     schema = "kind string, gender string, entity string, attempt int, made string"

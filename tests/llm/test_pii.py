@@ -97,3 +97,22 @@ def test_ten_thousand_surnames_get_distinct_surrogates(spark):
     again = {r.entity: r.attempt for r in pii.redrawn(df, KEY).collect()}
     made = {pii.surrogate(KEY, "person", n, "n", again.get(n, 0)) for n in names}
     assert len(names) == 10_000 and len(made) == len(names) and made.isdisjoint(names)
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("Mr Peter Novak left. Novak and Peter Novak, NOVAK too; Novakia", ["Peter Novak", "Novak", "Peter Novak", "NOVAK"]),
+    ("Mr. J. R. O'Brien, Mrs Smith-Jones", ["J. R. O'Brien", "Smith-Jones"]), ("MR SMITH and DR. J. DOE", ["SMITH", "J. DOE"]),
+    ("Dear Mr\nSmith\nThank you", ["Smith"]), ("Mr  Ada\tLovelace", ["Ada\tLovelace"]), ("MS Word", [])])
+def test_names(text, names):
+    assert kinds(text) == [("person", n) for n in names]
+
+
+@pytest.mark.parametrize("n", [130, 600, 20_000])
+def test_long_secrets_go_whole(n):
+    value = "eyJ" + "aB3" * n + "x"
+    assert kinds(f'token="{value}"') == [("secret", value)] and kinds(f"sk-{'a1' * n} ") == [("secret", f"sk-{'a1' * n}")]
+    assert kinds(f"password={'a' * 50}1") == [("secret", "a" * 50 + "1")]
+    new = pii.surrogate(KEY, "secret", value)
+    # no run of the value is left in clear
+    assert len(new) == len(value) and sum(a == b for a, b in zip(new, value, strict=True)) < len(value) / 8
+    assert kinds("pwd=" * 100_000) == []
