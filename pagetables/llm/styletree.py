@@ -39,6 +39,8 @@ FRAME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice gdpr popup modal "
     "overlay newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs sidebar side header masthead footer "
     "foot comment comments disqus respond reply replies share sharing social related recommended recommendations widget pagination pager toolbar".split())
+# Words before a frame word that make it say something of the element's content.
+MODIFIERS = frozenset("with has have no without category tag is".split())
 # Elements that begin a block of text.
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary "
@@ -52,7 +54,7 @@ _SAME_LEVEL = {"li": ("li", {"ul", "ol"}), "dd": ("dd dt", {"dl"}), "dt": ("dd d
 
 _TOKEN = re.compile(
     rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW})\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*[^>]*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|[="'])*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)|(?:[^<]|<(?![a-zA-Z/!?]))+""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*"[^"]*"|=\s*'[^']*'|[="'])*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)|(?:[^<]|<(?![a-zA-Z/!?]))+""",
     re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|\d+")
@@ -65,6 +67,7 @@ class Block(NamedTuple):
     frame: bool  # inside what fixed rules take away
     article: bool
     heading: bool
+    marks: tuple[int, ...] = ()  # the elements around it whose class or id is a frame word
 
 
 class Page(NamedTuple):
@@ -73,22 +76,25 @@ class Page(NamedTuple):
 
 
 class _Open:
-    __slots__ = ("article", "children", "frame", "path", "tag")
+    __slots__ = ("article", "children", "frame", "marks", "path", "tag")
 
-    def __init__(self, tag: str, path: str, frame: bool, article: bool) -> None:
-        self.tag, self.path, self.frame, self.article = tag, path, frame, article
+    def __init__(self, tag: str, path: str, frame: bool, article: bool, marks: tuple[int, ...] = ()) -> None:
+        self.tag, self.path, self.frame, self.article, self.marks = tag, path, frame, article, marks
         self.children: list[str] = []
 
 
-def _signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with class and id, without long numbers, and whether fixed rules take it away."""
-    frame, marks = tag in DROPPED, ""
+def _signature(tag: str, attributes: str) -> tuple[str, bool, int]:
+    """Tag with class and id, without long numbers; whether fixed rules take it away; 2 if a class or id begins with
+    a frame word, 1 if one has such a word further on, but not where it says what the element has, as with-sidebar."""
+    frame, marked, marks = tag in DROPPED, 0, ""
     if attributes and not attributes.isspace():
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "").lower()
             if name in ("class", "id"):
                 words = _WORD.findall(value.replace("_", "-"))
-                frame |= not FRAME_WORDS.isdisjoint(words)
+                if not FRAME_WORDS.isdisjoint(words):
+                    parts = [x for x in (_WORD.findall(v) for v in value.split()) if x and x[0] not in MODIFIERS and not FRAME_WORDS.isdisjoint(x)]
+                    marked = max([marked, *(1 + (x[0] in FRAME_WORDS) for x in parts)])
                 marks += ("." if name == "class" else "#") + "-".join(w for w in words if not (w.isdigit() and len(w) > 2))
             elif name == "role":
                 frame |= value in DROPPED_ROLES
@@ -96,7 +102,7 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool]:
                 frame |= "display:none" in value.replace(" ", "")
             elif name == "hidden" or value == "true":
                 frame = True
-    return tag + marks, frame
+    return tag + marks, frame, marked
 
 
 def read_page(html: str) -> Page:
@@ -105,6 +111,9 @@ def read_page(html: str) -> Page:
     stack = [_Open("#root", "", False, False)]
     page = Page([], [])
     held: list[str] = []
+    n_marks = 0
+    weak: set[int] = set()
+    wrappers: set[int] = set()  # marked elements around an article or main: their marks do not count
 
     def flush() -> None:
         if held:
@@ -112,7 +121,7 @@ def read_page(html: str) -> Page:
             held.clear()
             if text:
                 top = stack[-1]
-                page.blocks.append(Block(text, top.path, top.frame, top.article, any(x.tag in ("h1", "h2", "h3") for x in stack[-3:])))
+                page.blocks.append(Block(text, top.path, top.frame, top.article, any(x.tag in ("h1", "h2", "h3") for x in stack[-3:]), top.marks))
 
     def close(at: int) -> None:
         while len(stack) > at:
@@ -136,7 +145,7 @@ def read_page(html: str) -> Page:
                 held.append(" ")
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if at and (tag in BLOCKS or tag in DROPPED or not any(x.tag in BLOCKS for x in stack[at + 1:])):
-                if tag in BLOCKS or stack[at].frame != stack[at - 1].frame:
+                if tag in BLOCKS or stack[at].frame != stack[at - 1].frame or stack[at].marks != stack[at - 1].marks:
                     flush()
                 close(at)
             elif tag in BLOCKS:
@@ -149,7 +158,7 @@ def read_page(html: str) -> Page:
             if tag in BLOCKS:
                 flush()
             continue
-        signature, frame = _signature(tag, m[4])
+        signature, frame, marked = _signature(tag, m[4])
         if tag in BLOCKS:
             flush()
             if tag in _CLOSES_P:
@@ -171,7 +180,7 @@ def read_page(html: str) -> Page:
                 flush()
                 close(low)
         top = stack[-1]
-        if frame and not top.frame:
+        if (frame and not top.frame) or (marked and not top.frame):
             flush()
         if top.children[-1:] != [tag]:
             top.children.append(tag)
@@ -179,10 +188,34 @@ def read_page(html: str) -> Page:
             continue
         path = f"{top.path}>{signature}" if tag in CONTAINERS else top.path
         if not m[4].endswith("/") or tag in BLOCKS:
-            stack.append(_Open(tag, path, top.frame or frame, top.article or tag in ("article", "main")))
+            marks = top.marks
+            if tag in ("article", "main"):
+                if not (top.frame or frame):
+                    wrappers.update(marks)
+            elif marked:
+                n_marks += 1
+                if marked == 1:
+                    weak.add(n_marks)
+                marks = (*marks, n_marks)
+            stack.append(_Open(tag, path, top.frame or frame, top.article or tag in ("article", "main"), marks))
     flush()
     close(1)
-    return page
+    return Page(_framed(page.blocks, wrappers, weak), page.layouts)
+
+
+def _framed(blocks: list[Block], wrappers: set[int], weak: set[int]) -> list[Block]:
+    """Blocks in marked elements as frame, but for wrappers and for those that hold most of the page's text; where
+    there is an article, only the weak ones of those."""
+    sizes: dict[int, int] = {}
+    total = 0
+    for b in blocks:
+        if not b.frame:
+            total += len(b.text)
+            for mark in b.marks:
+                sizes[mark] = sizes.get(mark, 0) + len(b.text)
+    article = any(b.article and not b.frame for b in blocks)
+    most = {k for k, n in sizes.items() if 2 * n > total and (k in weak or not article)}
+    return [b._replace(frame=True) if not (wrappers | most).issuperset(b.marks) else b for b in blocks]
 
 
 def host_of(url: str | None) -> str:
@@ -244,7 +277,8 @@ def main_text(pages: DataFrame, keep: Iterable[str] | None = None, url_col: str
     """row (struct of the columns keep, by default all) and text of each page.
 
     Fixed rules take away menus, headers, footers, sidebars, notices, adverts, forms, comments,
-    scripts and styles. The style tree then removes the branches of low importance: inside an
+    scripts and styles. Class words do not count on article, main and what contains them, nor on
+    what holds most of the page's text. The style tree then removes the branches of low importance: inside an
     article those whose own class or id marks them off, elsewhere any. If a page has an article or main
     element with text, only text inside it is main text. Character references are decoded, white space in a
     block is one space, and blocks are joined by a line feed, all in page order.

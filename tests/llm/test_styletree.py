@@ -54,3 +54,15 @@ def test_importance_is_the_entropy(spark):
 def test_host():
     assert [tree.host_of(u) for u in (None, "", "x", "http://A.example:80/p", "//b.example?q", "https://u@c.example#f")] == [
         "", "", "", "a.example", "b.example", "c.example"]
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content with-sidebar"><p>the text</p></div>', '<main class="has-comments"><p>the text</p></main>', '<article class="post category-social"><p>the text</p></article>',
+    '<article class="social"><p>the text</p><div class="ad">buy</div></article>', '<div class="side"><article><p>the text</p></article></div>',
+    '<article><div class="entry has-comments"><p>the text</p></div></article>', '<div id="widget"><p>the text</p></div><div class="share">tweet</div>'])
+def test_frame_words_do_not_take_the_main_text(page):
+    assert tree.page_text(tree.read_page(f"<body>{page}</body>"), frozenset()) == "the text"
+
+
+def test_a_page_cut_off_in_attributes_is_read_in_linear_time():
+    assert tree.read_page("<p>x</p><a " + "b c=d " * 20_000).blocks[0].text == "x"
