@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import chat, classifier, decontaminate, linededup, neardup, packing, pii, styletree, warc
+from pagetables.llm import chat, classifier, decontaminate, linededup, middle, neardup, packing, pii, styletree, warc
 from pagetables.llm.common import shared_dir, table
 from pagetables.llm.repetition import quality_rules
 
@@ -84,6 +84,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "gram_chars", "dup_line_chars")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -132,4 +140,22 @@ ORACLES: dict[str, str] = {
             FROM article),
         joined AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM pieces)
         SELECT page_id, url, text, length(text) AS n_chars FROM joined""",
+    "op11_fill_in_middle": r"""
+        WITH whole AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS digest,
+                regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents),
+        drawn AS (
+            SELECT doc_id, text, units, len(units) AS n, ('0x' || digest[1:8])::BIGINT % (len(units) + 1) AS a,
+                ('0x' || digest[9:16])::BIGINT % (len(units) + 1) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                    WHEN ('0x' || digest[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM whole),
+        parts AS (
+            SELECT doc_id, text, n, form, array_to_string(units[1:least(a, b)], '') AS p,
+                array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS m,
+                array_to_string(units[greatest(a, b) + 1:], '') AS s FROM drawn)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM parts""",
 }
