@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagetables.llm import chat, classifier, decontaminate, linededup, middle, neardup, packing, pii, styletree, warc
+from pagetables.llm import chat, classifier, decontaminate, linededup, middle, neardup, packing, pii, spelling, styletree, warc
 from pagetables.llm.common import shared_dir, table
 from pagetables.llm.repetition import quality_rules
 
@@ -91,6 +91,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -103,8 +107,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
+
+
+def _crc_step() -> str:
+    """SQL for the CRC-32 register c after byte b: the polynomial's remainder of each bit, put together."""
+    def remainder(c: int) -> int:
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        return c
+    step = "c >> 8"
+    for bit in range(8):
+        step = f"xor({step}, ((xor(c, b) >> {bit}) & 1) * {remainder(1 << bit)})"
+    return step
+
+
 ORACLES: dict[str, str] = {
     "op3_chat_formatting": r"""
         WITH turns AS (
@@ -158,4 +177,38 @@ ORACLES: dict[str, str] = {
             sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
                 ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
         FROM parts""",
+    "op12_spelling_variants": rf"""
+        WITH RECURSIVE runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+        counted AS (SELECT id, run, count(*) AS times, hex(encode(id || ':' || run)) AS h FROM runs GROUP BY id, run),
+        summed AS (
+            SELECT run, times, xor(4294967295, list_reduce(
+                list_transform(range(1, length(h), 2), lambda k: ('0x' || substr(h, k, 2))::BIGINT), lambda c, b: {_crc_step()}, 4294967295::BIGINT)) AS crc
+            FROM counted),
+        made AS (
+            SELECT CASE WHEN crc % 199 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, times
+            FROM summed),
+        words AS MATERIALIZED (
+            SELECT word, sum(times)::BIGINT AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+        shorter AS (
+            SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS left_over
+            FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (
+            SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.left_over = b.left_over AND a.word <> b.word
+            UNION SELECT shorter.word, words.word FROM shorter JOIN words ON left_over = words.word
+            UNION SELECT words.word, shorter.word FROM shorter JOIN words ON left_over = words.word),
+        ordered AS (
+            SELECT near.word, other, a.n, b.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+                row_number() OVER (PARTITION BY near.word ORDER BY b.n DESC, other) AS place
+            FROM near JOIN words a ON near.word = a.word JOIN words b ON other = b.word),
+        best AS MATERIALIZED (
+            SELECT word, n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+            FROM ordered WHERE place = 1),
+        walk AS (
+            SELECT word, form AS root FROM best WHERE form IS NOT NULL
+            UNION ALL SELECT walk.word, form FROM walk JOIN best ON root = best.word WHERE form IS NOT NULL),
+        roots AS (SELECT walk.word, root FROM walk LEFT JOIN best ON root = best.word WHERE form IS NULL)
+        SELECT words.word, form, coalesce(root, words.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+        FROM words LEFT JOIN best ON words.word = best.word LEFT JOIN roots ON words.word = roots.word""",
 }

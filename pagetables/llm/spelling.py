@@ -249,7 +249,7 @@ def postings(words: DataFrame, frequent: object, min_chars: int = MIN_CHARS, lon
         for batch in batches:
             for rows, found in _words(batch.column(0)):
                 size = found.last - found.first
-                for most in range(min_chars - 2, longest + 1):
+                for most in range(min(min_chars - 2, longest), longest + 1):
                     own, less = (np.minimum(s - 2, longest) == most for s in (size, size - 1))
                     mine = np.flatnonzero(own | less & (size > min_chars))
                     if not len(mine):
