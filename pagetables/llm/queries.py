@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagetables.llm import chat, classifier, decontaminate, linededup, middle, neardup, packing, pii, spelling, styletree, warc
 from pagetables.llm.common import shared_dir, table
 from pagetables.llm.repetition import quality_rules
+from pagetables.llm.tokengroups import similar_sets
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 
@@ -211,4 +217,20 @@ ORACLES: dict[str, str] = {
         roots AS (SELECT walk.word, root FROM walk LEFT JOIN best ON root = best.word WHERE form IS NULL)
         SELECT words.word, form, coalesce(root, words.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
         FROM words LEFT JOIN best ON words.word = best.word LEFT JOIN roots ON words.word = roots.word""",
+    "op13_ngram_jaccard_join": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, coalesce(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+        sets AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle FROM split),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        linked AS MATERIALIZED (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b USING (shingle)
+            JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, m.n, n.n HAVING 100 * count(*) >= 85 * (m.n + n.n - count(*))),
+        reach AS (SELECT x, y FROM linked UNION SELECT reach.x, linked.y FROM reach JOIN linked ON reach.y = linked.x),
+        least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT split.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, split.doc_id) AS component_id
+        FROM split LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON split.doc_id = x""",
 }
