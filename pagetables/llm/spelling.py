@@ -240,10 +240,11 @@ def decompose(words: Latin, frequent: Grams, longest: int) -> Decomposed:
 
 
 def postings(words: DataFrame, frequent: object, min_chars: int = MIN_CHARS, longest: int = MAX_GRAM) -> DataFrame:
-    """key, word, n: the lists that each word is looked up in.
+    """key, word, n, size, behind: the lists that each word is looked up in.
 
     A pair is searched by the length of its shorter word; so a word is decomposed for its own length and for
-    one less, where these have other longest grams. A key is a gram with its distance from the beginning or from the end.
+    one less, where these have other longest grams. A key is a gram with its distance from the beginning or from the end
+    (then `behind`); for words of one length the two say the same.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,10 +261,12 @@ def postings(words: DataFrame, frequent: object, min_chars: int = MIN_CHARS, lon
                     behind = size[mine][word] - place
                     keys = [nt.mix(nt.mix(code) + (offset.astype(np.uint64) << np.uint64(8) | np.uint64(side << 7 | most)))
                             for side, offset in ((0, place), (1, behind))]
-                    row = pa.array(np.tile(mine[word], 2) + rows.start)
+                    mine = np.tile(mine[word], 2)
+                    row = pa.array(mine + rows.start)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], names=["key", "word", "n"])
-    return words.select("word", "n").mapInArrow(run, "key long, word string, n long")
+                        [pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row),
+                         pa.array(size[mine].astype(np.int32)), pa.array(np.arange(len(mine)) >= len(word))], names=["key", "word", "n", "size", "behind"])
+    return words.select("word", "n").mapInArrow(run, "key long, word string, n long, size int, behind boolean")
 
 
 def near_words(words: DataFrame, min_chars: int = MIN_CHARS, prune: int = PRUNE) -> DataFrame:
@@ -278,10 +281,10 @@ def near_words(words: DataFrame, min_chars: int = MIN_CHARS, prune: int = PRUNE)
     spark = words.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_grams(words, prune))
     lists = postings(words, frequent, min_chars)
-    left = lists.select("key", "word", "n")
-    right = lists.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    like = (F.col("word") < F.col("other")) & (F.abs(F.char_length("word") - F.char_length("other")) <= 1)
-    near = left.join(right, "key").filter(like & (F.levenshtein("word", "other", 1) == 1))
+    right = lists.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"))
+    apart = F.abs(F.col("size") - F.col("other_size"))
+    like = ((apart == 1) | (apart == 0) & ~F.col("behind")) & (F.col("word") < F.col("other"))
+    near = lists.join(right, "key").filter(like & (F.levenshtein("word", "other", 1) == 1))
     return near.select("word", "n", "other", "other_n").distinct()
 
 
