@@ -37,8 +37,29 @@ def non_empty(col) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+def utf16_length(col) -> Column:
+    """Length as scripts count it: a character beyond U+FFFF is two."""
+    col = F.col(col) if isinstance(col, str) else col
+    units = (F.octet_length(F.encode(col, "UTF-16BE")) / 2).cast("int")
+    return F.when(F.octet_length(col) == F.length(col), F.length(col)).otherwise(units)
+
+
 def token_estimate(col) -> Column:
-    return F.ceil(F.length(col) / CHARS_PER_TOKEN).cast("long")
+    return F.ceil(utf16_length(col) / CHARS_PER_TOKEN).cast("long")
+
+
+def escape_text(col: Column) -> Column:
+    """Text as a serialiser writes it."""
+    for char, reference in [("&", "&amp;"), ("\u00a0", "&nbsp;"), ("<", "&lt;"), (">", "&gt;")]:
+        col = F.replace(col, F.lit(char), F.lit(reference))
+    return col
+
+
+def escape_attribute(col: Column) -> Column:
+    """An attribute value as a serialiser writes it between double quotes."""
+    for char, reference in [("&", "&amp;"), ("\u00a0", "&nbsp;"), ('"', "&quot;")]:
+        col = F.replace(col, F.lit(char), F.lit(reference))
+    return col
 
 
 def lookup_table(pairs: dict, kind: str) -> Column:

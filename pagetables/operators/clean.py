@@ -32,7 +32,7 @@ def _group_of(rank: Column) -> Column:
 
 
 def mark_removed(tree: DataFrame, rules=None) -> DataFrame:
-    """+ rank, grp, removed, in_body, after_body.
+    """+ rank, grp, removed, removed_before, in_body, after_body.
 
     A token is removed if a matched element at or before it has not ended yet: a running
     maximum over the page, no join.  The body starts at its tag, or at the first token
@@ -47,15 +47,16 @@ def mark_removed(tree: DataFrame, rules=None) -> DataFrame:
     so_far = (
         W.partitionBy("page_id").orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
     )
+    before = W.partitionBy("page_id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    removal_end = F.max(F.when(F.col("rank").isNotNull(), F.col("end")))
     starts_body = ((tag == "#text") & (js_trim("text") != "")) | (
         ~tag.startswith("#") & ~is_close & ~tag.isin(*fixed.HEAD_TAGS)
     )
     ends_body = is_close & tag.isin("body", "html")
     return marked.withColumns({
         "grp": _group_of(F.col("rank")),
-        "removed": F.coalesce(
-            F.max(F.when(F.col("rank").isNotNull(), F.col("end"))).over(so_far) >= i, F.lit(False)
-        ),
+        "removed": F.coalesce(removal_end.over(so_far) >= i, F.lit(False)),
+        "removed_before": F.coalesce(removal_end.over(before) >= i, F.lit(False)),
         "in_body": F.coalesce(F.bool_or(starts_body).over(so_far), F.lit(False)),
         "after_body": F.coalesce(F.bool_or(ends_body).over(so_far), F.lit(False)),
     })

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.html import selector_rank
-from ..functions.text import js_trim, let, non_empty, token_estimate
+from ..functions.text import js_trim, let, non_empty, token_estimate, utf16_length
 from .clean import count_removed, mark_removed
+from .serialise import written
 from .tokens import tree
 
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -97,13 +98,11 @@ def _page_arrays(marked: DataFrame, keep: tuple, wanted: set) -> DataFrame:
         return F.sort_array(F.collect_list(F.when(condition, F.struct("i", *columns))))
 
     def html():
-        in_html = (
-            F.col("alive") & F.col("in_body")
-            & ~tag.isin("html", "head", "body", "#declaration", "#unfinished")
-            & ~((tag == "#comment") & F.col("after_body"))
-            & ~(F.col("is_close") & ~F.col("paired"))
+        in_tree = (
+            F.col("i").isNotNull() & F.col("in_body")
+            & ~tag.isin("html", "head", "body") & ~((tag == "#comment") & F.col("after_body"))
         )
-        return gather(in_html, "tok")
+        return written(F.col("alive"), ~F.col("removed_before"), in_tree)
 
     def buttons():
         is_button = selector_rank(fixed.BUTTON_SELECTORS, tag, attrs).isNotNull()
@@ -144,7 +143,7 @@ def _page_arrays(marked: DataFrame, keep: tuple, wanted: set) -> DataFrame:
     }
     return marked.groupBy("page_id").agg(
         *[F.max(k).alias(k) for k in keep],
-        F.coalesce(F.sum(F.length("tok")), F.lit(0)).alias("original_length"),
+        F.coalesce(F.sum(utf16_length("tok")), F.lit(0)).alias("original_length"),
         *[make().alias(f"a_{name}") for name, make in arrays.items() if name in wanted],
     )
 
@@ -299,7 +298,7 @@ def _visible_text() -> Column:
 # Column of the cleaning result: how it is built, and from which arrays.
 _TEXT = {"counts", "texts"}
 _CLEAN_COLUMNS = {
-    "cleaned_html": (lambda: F.array_join(F.col("a_html")["tok"], ""), {"html"}),
+    "cleaned_html": (lambda: F.array_join("a_html", ""), {"html"}),
     "visible_text": (_visible_text, {"parts"}),
     "headings": (_headings, _TEXT | {"headings"}),
     "lists": (_lists, _TEXT | {"lists", "items"}),
@@ -342,7 +341,7 @@ def stats_columns() -> list[tuple[str, Column]]:
     """Size and removal figures of a cleaning result, by name."""
     return [
         ("original_length", F.col("original_length")),
-        ("cleaned_length", F.length("cleaned_html")),
+        ("cleaned_length", utf16_length("cleaned_html")),
         ("elements_removed", F.aggregate("removed_by_group", F.lit(0), lambda a, n: a + n)),
         ("token_estimate", token_estimate(F.col("visible_text"))),
     ]

@@ -86,6 +86,9 @@ def _next(value: str, partition: list[str]) -> Column:
 def nodes(toks: DataFrame) -> DataFrame:
     """+ end: for each open tag the i of the last token of its subtree.
 
+    + needs_section, needs_row: a row or cell before which a table leaves out a section or row,
+    and own_section_end, own_row_end: where that ends.
+
     An element ends at its own end tag, but no later than the container it stands in; a link or
     a button also ends before the next one, as they do not nest; an
     element whose end tag may be left out (p, li, dt, dd, td, th, tr, tbody, thead, tfoot,
@@ -154,7 +157,20 @@ def nodes(toks: DataFrame) -> DataFrame:
         .when(tag.isin("html", "body") & ~is_close, F.lit(PAGE_END))
         .when(~tag.startswith("#") & ~is_close, i)
     )
-    helpers = ["step", "level", "next_same", "pair", "depth_step", "depth", "p_mark", "p_end"]
+    # The last tag of a table's frame before this one, in the same table.
+    frame = F.when(tag == "table", "table").when(tag.isin(*fixed.SECTION_TAGS), "section").when(
+        tag == "tr", "row").when(tag.isin(*fixed.CELL_TAGS), "cell")
+    earlier = W.partitionBy("page_id", "depth").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    ended = F.when(is_close, F.concat(F.lit("/"), frame)).otherwise(frame)
+    toks = toks.withColumn("frame", F.last(ended, ignorenulls=True).over(earlier))
+    is_row, is_cell = opens & (tag == "tr"), opens & tag.isin(*fixed.CELL_TAGS)
+    toks = toks.withColumns({
+        "needs_section": F.coalesce((is_row | is_cell) & F.col("frame").isin("table", "/section"), F.lit(False)),
+        "needs_row": F.coalesce(is_cell & F.col("frame").isin("table", "section", "/section", "/row"), F.lit(False)),
+        "own_section_end": F.coalesce(F.least(F.col("section_end"), container), F.lit(PAGE_END)),
+        "own_row_end": F.coalesce(F.least(F.col("row_end"), container), F.lit(PAGE_END)),
+    })
+    helpers = ["frame", "step", "level", "next_same", "pair", "depth_step", "depth", "p_mark", "p_end"]
     helpers += [f"{m}_mark" for m in marks] + [f"{m}_end" for m in marks]
     return toks.withColumn("end", end).drop(*helpers)
 
