@@ -15,7 +15,7 @@ from ..operators import (
     quality as qu, runlog as rl, text as tx, tokens as tk, validate as va,
 )
 from ..sources import io
-from ..streaming.stream import latest, stream_pages
+from ..streaming.stream import latest, stream_outcomes, stream_pages
 from . import derived as de
 from .pipeline import documents_of_run, page_text_stats, run_cleaning
 
@@ -243,6 +243,12 @@ def extractions_from_json(spark, sf):
     return rows.select("page_id", "page_url", F.size("schemas").alias("n_entities"))
 
 
+LATE_PAYLOAD = (
+    "CASE WHEN page_id % 8 = 1 THEN '{\"schemas\":[]}' "
+    "ELSE '{\"schemas\":[{\"@type\":\"Article\",\"headline\":\"h\"}]}' END"
+)
+
+
 def streamed_pages(spark, sf):
     base = f"{io.shared_dir(spark)}/stream-{_unique()}"
     de.product_pages(spark, sf).repartition(4).write.parquet(f"{base}/in")
@@ -251,6 +257,25 @@ def streamed_pages(spark, sf):
     return latest(spark, f"{base}/out").select("page_id", "visible_text", "document")
 
 
+def late_results(spark, sf):
+    """Results that come with their page, after it, before it and never, by page_id modulo 4."""
+    base = f"{io.shared_dir(spark)}/late-{_unique()}"
+    pages = _pages(spark, sf).selectExpr("page_id", "url", "html", "timestamp'2026-01-01 10:00:00' AS fetched")
+    results = pages.selectExpr("page_id", "url AS page_url", f"{LATE_PAYLOAD} AS payload",
+                               "CAST(NULL AS STRING) AS usage", "timestamp'2026-01-01 10:30:00' AS made")
+    waves = [("page_id % 4 <> 2", "page_id % 4 IN (0, 2)"), ("page_id % 4 = 2", "page_id % 4 = 1")]
+    # the last page and its result come a day later, so that nothing else is waited for
+    last = [spark.range(1).selectExpr(
+        "-1L AS page_id", "'http://h.example/' AS url", "'' AS html", "timestamp'2026-01-02 10:00:00' AS fetched")]
+    last.append(last[0].selectExpr("page_id", "url AS page_url", f"{LATE_PAYLOAD} AS payload",
+                                   "CAST(NULL AS STRING) AS usage", "fetched AS made"))
+    for new_pages, new_results in [*((pages.where(p), results.where(r)) for p, r in waves), last]:
+        new_pages.write.mode("append").parquet(f"{base}/pages")
+        new_results.write.mode("append").parquet(f"{base}/results")
+        stream_outcomes(spark, f"{base}/pages", f"{base}/results", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return latest(spark, f"{base}/out").select("page_id", "success", "stage", "reason", "code")
+
+
 def _unique() -> str:
     return uuid.uuid4().hex
 
@@ -366,4 +391,5 @@ QUERIES = {
     "log_summary": lambda s, d: rl.log_summary(de.run_log(s, d)),
     # stream
     "streamed_pages": streamed_pages,
+    "late_results": late_results,
 }

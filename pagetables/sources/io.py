@@ -2,10 +2,11 @@
 
 import tempfile
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
+
 # What each stage keeps, as columns beside page_id.
 STAGES = {
     "raw": "url string, html string",
@@ -57,28 +58,18 @@ def read_extractions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_stage(
-    df: DataFrame, stage: str, run_id: str, path: str, mode: str = "overwrite",
-    fmt: str = "parquet",
+    df: DataFrame, stage: str, run_id: str, path: str, fmt: str = "parquet"
 ) -> None:
-    """Write what a stage made under its run; a rerun replaces its own run alone, also with
-    nothing."""
-    df.write.format(fmt).mode(mode).option("partitionOverwriteMode", "static").save(
-        f"{path}/{stage}/run_id={run_id}"
-    )
+    """Write what a stage made under its run; a rerun replaces its own run alone, in one step, also
+    with nothing. Until then, and if it fails, readers see the old output."""
+    store.replace(df.sparkSession, f"{path}/{stage}/run_id={run_id}", df, fmt)
 
 
-def load_stage(
-    spark: SparkSession, stage: str, run_id: str, path: str, fmt: str = "parquet"
-) -> DataFrame:
+def load_stage(spark: SparkSession, stage: str, run_id: str, path: str) -> DataFrame:
     """What a stage made in a run; an output that is not there counts as empty."""
     schema = f"page_id long, {STAGES[stage]}"
-    try:
-        saved = spark.read.schema(f"{schema}, run_id string").format(fmt).load(f"{path}/{stage}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    return saved.where(F.col("run_id") == run_id).drop("run_id")
+    saved = store.read(spark, f"{path}/{stage}/run_id={run_id}", schema)
+    return spark.createDataFrame([], schema) if saved is None else saved
 
 
 def save_clean(clean: DataFrame, run_id: str, path: str) -> None:

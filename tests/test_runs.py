@@ -1,14 +1,17 @@
 """Sources, sinks, streams and the shape of plans."""
 
+import os
 import re
 import tempfile
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagetables.operators.elements import clean_pages, headings
 from pagetables.plans.pipeline import documents_of_run, run_cleaning
-from pagetables.sources import io
-from pagetables.streaming.stream import latest, stream_pages
+from pagetables.sources import io, store
+from pagetables.streaming.stream import RESULT_SCHEMA, TIMED_PAGE_SCHEMA, latest, stream_outcomes, stream_pages
 
 SCHEMA = "page_id long, url string, html string"
 PAGES = [(n, f"https://h.example/{n}", f"<body><h1>t{n}</h1><a href='/{n}'>l</a>") for n in range(6)]
@@ -98,6 +101,76 @@ def test_stage_outputs_are_replaced_also_with_nothing(spark, pages, out):
     assert io.load_stage(spark, "raw", "b", out).count() == 6
 
 
+def test_a_failed_write_leaves_the_old_rows(spark, pages, out):
+    io.write_stage(pages, "raw", "a", out)
+    reader = io.load_stage(spark, "raw", "a", out)
+    broken = pages.withColumn("html", F.when(F.col("page_id") == 3, F.raise_error(F.lit("killed"))).otherwise("new"))
+    with pytest.raises(Exception, match="killed"):
+        io.write_stage(broken.repartition(4), "raw", "a", out)
+    assert io.load_stage(spark, "raw", "a", out).where("html <> 'new'").count() == 6
+    io.write_stage(pages.limit(2), "raw", "a", out)
+    # who began to read before the change can go on; what failed is gone
+    assert reader.count() == 6 and io.load_stage(spark, "raw", "a", out).count() == 2
+    root = f"{out}/raw/run_id=a"
+    named = set(store.current(spark, root)["parts"].values())
+    assert len([n for n in os.listdir(root) if n.startswith("data-")]) == 2 and len(named) == 1
+
+
+def test_a_draft_that_was_never_renamed_is_no_manifest(spark, pages, out):
+    store.replace(spark, f"{out}/s", pages)
+    with open(f"{out}/s/_manifests/.draft-x", "w") as draft:
+        draft.write('{"parts": {')
+    assert store.read(spark, f"{out}/s").count() == 6
+    assert store.read(spark, f"{out}/nothing") is None
+
+
+def test_upsert_writes_only_touched_buckets(spark, pages, out):
+    root = f"{out}/s"
+    rows = spark.range(200).select(F.col("id").alias("page_id"), F.lit(0).alias("n"))
+    store.upsert(spark, root, rows, batch=0, buckets=16)
+    first = store.current(spark, root)["parts"]
+    assert len(first) == 16
+    one = rows.where("page_id = 7").withColumn("n", F.lit(1))
+    for batch in range(1, 6):
+        store.upsert(spark, root, one.withColumn("n", F.lit(batch)), batch=batch)
+        now = store.current(spark, root)["parts"]
+        assert sum(now[b] != first[b] for b in first) == 1
+    store.upsert(spark, root, rows.limit(0), batch=6)
+    found = {r.page_id: r.n for r in store.read(spark, root).collect()}
+    assert len(found) == store.read(spark, root).count() == 200 and found[7] == 5 and found[8] == 0
+    # a replay changes nothing, and few folders stay
+    store.upsert(spark, root, one.withColumn("n", F.lit(99)), batch=4)
+    assert store.read(spark, root).where("n = 99").count() == 0
+    assert len([n for n in os.listdir(root) if n.startswith("data-")]) <= 4
+
+
+def test_an_empty_first_batch(spark, pages, out):
+    store.upsert(spark, f"{out}/s", pages.limit(0), batch=0)
+    assert store.read(spark, f"{out}/s").count() == 0 and store.read(spark, f"{out}/s").columns == pages.columns
+    store.upsert(spark, f"{out}/s", pages, batch=1)
+    assert store.read(spark, f"{out}/s").count() == 6
+
+
+def test_results_before_after_and_never(spark, out):
+    def arrive(pages, results):
+        rows = [(p, f"http://h.example/{p}", "<p>", datetime(2026, 1, 1, *t)) for p, t in pages]
+        spark.createDataFrame(rows, TIMED_PAGE_SCHEMA).write.mode("append").parquet(f"{out}/pages")
+        rows = [(p, "http://h.example/", payload, None, datetime(2026, 1, 1, *t)) for p, payload, t in results]
+        spark.createDataFrame(rows, RESULT_SCHEMA).write.mode("append").parquet(f"{out}/results")
+        stream_outcomes(spark, f"{out}/pages", f"{out}/results", f"{out}/out", f"{out}/checkpoint").awaitTermination()
+        return {r.page_id: (r.success, r.reason) for r in latest(spark, f"{out}/out").collect()}
+
+    good = '{"schemas":[{"@type":"Article","headline":"h"}]}'
+    found = arrive([(1, (10, 0)), (3, (10, 0)), (5, (10, 0))], [(2, good, (10, 0)), (4, good, (10, 0)), (5, good, (10, 1))])
+    assert found == {5: (True, None)}
+    found = arrive([(2, (10, 20))], [(1, good, (10, 30)), (5, '{"schemas":[]}', (10, 31))])
+    assert found == {1: (True, None), 2: (True, None), 5: (False, "No valid entities after validation")}
+    # both streams have passed 10:00 by more than the wait: what has no partner is given up
+    found = arrive([(8, (15, 0))], [(8, good, (15, 0))])
+    assert found[3] == (False, "No extraction result") and found[4] == (False, "No page for this result")
+    assert found[1] == found[2] == found[8] == (True, None) and len(found) == 6
+
+
 def test_a_page_twice_in_one_batch_and_gates(spark, out):
     rows = [(1, "http://a.example/", "<body>old", 1), (1, "http://a.example/", "<body>and new", 2),
             (2, "no url", "<body>x", 1)]
