@@ -79,6 +79,22 @@ def text_of(value: Column) -> Column:
     return let(F.to_json(value), spell)
 
 
+def compact_json(text) -> Column:
+    """JSON text without the white space between its parts, keys in the order they have; null if it is none."""
+    text = F.col(text) if isinstance(text, str) else text
+    nested = text.rlike(r"^\s*[\[{]")
+    return F.when(nested, F.get_json_object(text, "$")).otherwise(F.to_json(F.try_parse_json(text)))
+
+
+def in_order(frag: Column, text: Column) -> Column:
+    """A fragment with its keys as they were written: `text` is the JSON text that it was read from.
+
+    VARIANT sorts the keys of objects; values that are passed through as they are keep their order.
+    """
+    nested = frag_is(frag, "object", "array") & text.isNotNull()
+    return F.when(nested, F.coalesce(compact_json(text), frag)).otherwise(frag)
+
+
 def quoted(text: Column) -> Column:
     """A text as a JSON string; SQL null becomes the fragment null."""
     return F.regexp_extract(F.to_json(F.array(text)), r"^\[([\s\S]*)\]$", 1)

@@ -7,13 +7,17 @@ from ..functions.variants import as_text, elements, field, is_kind
 
 
 def parse_extractions(extractions: DataFrame) -> DataFrame:
-    """+ schemas ARRAY<VARIANT>; null if the payload has no array of that name."""
+    """+ schemas ARRAY<VARIANT>, null if the payload has no array of that name; sources: the JSON
+    text of each, where keys have the order in which they were written."""
     payload = F.try_parse_json("payload")
-    return extractions.withColumn("schemas", elements(field(payload, "schemas")))
+    return extractions.withColumns({
+        "schemas": elements(field(payload, "schemas")),
+        "sources": F.from_json("payload", "schemas array<string>")["schemas"],
+    })
 
 
 def entities(extractions: DataFrame, outer: bool = False) -> DataFrame:
-    """(page_id, page_url, idx, type, raw): one row per entity, idx from 0.
+    """(page_id, page_url, idx, raw, source, type): one row per entity, idx from 0.
 
     With `outer`, a page without entities keeps one row with a null idx, and has_schemas
     says whether its payload held the array at all.
@@ -33,9 +37,12 @@ def explode_entities(parsed: DataFrame, outer: bool = False) -> DataFrame:
     rows = parsed.select(
         "page_id", "page_url",
         *([F.col("schemas").isNotNull().alias("has_schemas")] if outer else []),
-        explode("schemas").alias("idx", "raw"),
+        "sources", explode("schemas").alias("idx", "raw"),
+    )
+    return rows.select(
+        *[c for c in rows.columns if c != "sources"], F.get("sources", F.col("idx")).alias("source"),
+        entity_type(F.col("raw")).alias("type"),
     )
-    return rows.withColumn("type", entity_type(F.col("raw")))
 
 
 # --- shapes: a Column that says whether a value has it; absent and null are fine ---

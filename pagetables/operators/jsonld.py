@@ -7,7 +7,7 @@ from ..functions.repair import price_message, repair_date, repair_price, repair_
 from ..functions.text import let, number_text
 from ..functions.urls import url_base
 from ..functions.variants import (
-    as_text, elements, entry_list, field, frag_is, fragment, if_set, is_kind, is_set,
+    as_text, elements, entry_list, field, frag_is, fragment, if_set, in_order, is_kind, is_set,
     json_array, json_object, or_null, pretty_json, quoted, text_of,
 )
 
@@ -18,12 +18,18 @@ SEARCH_INPUT = "required name=search_term_string"
 _URL_FIELDS = ["url", "logo", "thumbnailUrl", "contentUrl", "embedUrl"]
 _NESTED_URLS = [("author", "url"), ("publisher", "logoUrl")]
 _DATE_FIELDS = ["datePublished", "dateModified", "uploadDate"]
+# Fields that are passed through as they are, as JSON text.
+_PASSED = (
+    "name string, description string, brand string, sku string, gtin string, sameAs string, "
+    "headline string, duration string, potentialAction struct<target: string, queryInput: string>, "
+    "author struct<name: string, type: string>, publisher struct<name: string>"
+)
 _URLS = [(k,) for k in _URL_FIELDS] + _NESTED_URLS
 
 
 def with_repairs(entity_rows: DataFrame) -> DataFrame:
-    """+ base, urls, dates: the page URL taken apart, and every URL and date of the entity
-    repaired, each kind by one expression.
+    """+ base, urls, dates, passed: the page URL taken apart, every URL and date of the entity
+    repaired, each kind by one expression, and the JSON texts of what is passed through.
 
     urls holds four lists: the single fields, the images, the offers' and the items' URLs.
     """
@@ -41,6 +47,7 @@ def with_repairs(entity_rows: DataFrame) -> DataFrame:
             texts, lambda us: F.transform(us, lambda u: repair_url_on(u, base))
         ),
         "dates": F.transform(days, repair_date),
+        "passed": F.from_json("source", _PASSED),
     })
 
 
@@ -61,6 +68,22 @@ def _day(value: Column) -> Column:
     ).when(f == "true", F.lit("1970-01-01")).when(frag_is(f, "string"), as_text(value)))
 
 
+def _as_written(value: Column, *path: str) -> Column:
+    """Fragment of a value that is passed through, its keys in order."""
+    text = F.col("passed")
+    for key in path:
+        text = text[key]
+    return in_order(value, text)
+
+
+def _passed_if_set(raw: Column, *path: str) -> Column:
+    return if_set(field(raw, *path), lambda f: _as_written(f, *path))
+
+
+def _passed(raw: Column, *path: str) -> Column:
+    return _as_written(fragment(field(raw, *path)), *path)
+
+
 def _typed(name: str) -> tuple[str, Column]:
     return ("@type", F.lit(f'"{name}"'))
 
@@ -99,21 +122,30 @@ def base_json_ld(raw: Column) -> list[tuple[str, Column]]:
     return [
         ("@context", F.lit('"https://schema.org"')),
         ("@type", fragment(field(raw, "@type"))),
-        ("name", if_set(field(raw, "name"))),
-        ("description", if_set(field(raw, "description"))),
+        ("name", _passed_if_set(raw, "name")),
+        ("description", _passed_if_set(raw, "description")),
         ("url", _url_if_set(raw, "url")),
     ]
 
 
+def _as_written_in(frag: Column, texts: Column, key: Column) -> Column:
+    """Fragment of an object's key, with the last text that the object has for that key."""
+    own = F.filter(texts, lambda e: e["key"] == key)
+    return in_order(frag, F.try_element_at(own, F.lit(-1))["value"])
+
+
 def product_brand(raw: Column) -> Column:
-    """Brand first, then the brand's own keys; its own @type wins."""
+    """Brand first, then the brand's own keys as they were written; its own @type wins, and of a key
+    that comes twice the last value."""
     brand = field(raw, "brand")
-    own = F.map_entries(F.try_variant_get(brand, "$", "map<string,variant>"))
-    own_type = fragment(field(brand, "@type"))
+    values = F.try_variant_get(brand, "$", "map<string,variant>")
+    texts = F.map_entries(F.from_json(F.col("passed")["brand"], "map<string,string>"))
+    own_type = _as_written_in(fragment(field(brand, "@type")), texts, F.lit("@type"))
     pair = lambda k, v: F.concat(quoted(k), F.lit(":"), v)
+    names = F.coalesce(F.array_distinct(texts["key"]), F.map_keys(values))
     keys = F.transform(
-        F.filter(own, lambda e: e["key"] != "@type"),
-        lambda e: pair(e["key"], F.to_json(e["value"])),
+        F.filter(names, lambda k: k != "@type"),
+        lambda k: pair(k, _as_written_in(F.to_json(F.try_element_at(values, k)), texts, k)),
     )
     typed = F.concat(F.lit('"@type":'), F.coalesce(own_type, F.lit('"Brand"')))
     as_object = F.concat(F.lit("{"), F.concat_ws(",", F.array(typed), keys), F.lit("}"))
@@ -189,8 +221,8 @@ def product_json_ld(raw: Column) -> list[tuple[str, Column]]:
     return [
         ("image", _images(field(raw, "image"))),
         ("brand", product_brand(raw)),
-        ("sku", if_set(field(raw, "sku"))),
-        ("gtin", if_set(field(raw, "gtin"))),
+        ("sku", _passed_if_set(raw, "sku")),
+        ("gtin", _passed_if_set(raw, "gtin")),
         ("aggregateRating", product_rating(raw)),
         ("offers", product_offers(raw)),
     ]
@@ -199,7 +231,7 @@ def product_json_ld(raw: Column) -> list[tuple[str, Column]]:
 def organization_json_ld(raw: Column) -> list[tuple[str, Column]]:
     lists = if_set(
         field(raw, "sameAs"),
-        lambda f: F.when(frag_is(f, "string", "array") & (f != "[]"), f),
+        lambda f: F.when(frag_is(f, "string", "array") & (f != "[]"), _as_written(f, "sameAs")),
     )
     return [("logo", _url_if_set(raw, "logo")), ("sameAs", lists)]
 
@@ -207,10 +239,10 @@ def organization_json_ld(raw: Column) -> list[tuple[str, Column]]:
 def website_json_ld(raw: Column) -> list[tuple[str, Column]]:
     action = "potentialAction"
     query = F.coalesce(
-        if_set(field(raw, action, "queryInput")), F.lit(f'"{SEARCH_INPUT}"')
+        _passed_if_set(raw, action, "queryInput"), F.lit(f'"{SEARCH_INPUT}"')
     )
     search = if_set(field(raw, action, "target"), lambda f: json_object(
-        _typed("SearchAction"), ("target", f), ("query-input", query)
+        _typed("SearchAction"), ("target", _as_written(f, action, "target")), ("query-input", query)
     ))
     return [(action, search)]
 
@@ -236,19 +268,19 @@ def itemlist_json_ld(raw: Column) -> list[tuple[str, Column]]:
 
 
 def article_json_ld(raw: Column) -> list[tuple[str, Column]]:
-    author_type = F.coalesce(if_set(field(raw, "author", "type")), F.lit('"Person"'))
+    author_type = F.coalesce(_passed_if_set(raw, "author", "type"), F.lit('"Person"'))
     logo_object = json_object(_typed("ImageObject"), ("url", _url("publisher", "logoUrl")))
     return [
-        ("headline", if_set(field(raw, "headline"))),
+        ("headline", _passed_if_set(raw, "headline")),
         ("image", _images(field(raw, "image"))),
         ("author", F.when(is_set(field(raw, "author")), json_object(
             ("@type", author_type),
-            ("name", fragment(field(raw, "author", "name"))),
+            ("name", _passed(raw, "author", "name")),
             ("url", _url("author", "url")),
         ))),
         ("publisher", F.when(is_set(field(raw, "publisher")), json_object(
             _typed("Organization"),
-            ("name", fragment(field(raw, "publisher", "name"))),
+            ("name", _passed(raw, "publisher", "name")),
             ("logo", F.when(is_set(field(raw, "publisher", "logoUrl")), logo_object)),
         ))),
         ("datePublished", _date_if_set(raw, "datePublished")),
@@ -260,7 +292,7 @@ def video_json_ld(raw: Column) -> list[tuple[str, Column]]:
     return [
         ("thumbnailUrl", _url_if_set(raw, "thumbnailUrl")),
         ("uploadDate", _date_if_set(raw, "uploadDate")),
-        ("duration", if_set(field(raw, "duration"))),
+        ("duration", _passed_if_set(raw, "duration")),
         ("contentUrl", _url_if_set(raw, "contentUrl")),
         ("embedUrl", _url_if_set(raw, "embedUrl")),
     ]

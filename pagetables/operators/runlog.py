@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.variants import compact_json
+
 STAGES = ["Ingestion", "Cleaning", "Extraction", "Validator"]
 
 
@@ -14,7 +16,7 @@ def log_filter(run_log: DataFrame, debug: bool = False) -> DataFrame:
 def log_lines(run_log: DataFrame) -> DataFrame:
     """+ line: `[time] [level] [stage] message | metadata`."""
     time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    compact = F.to_json(F.try_parse_json("metadata"))
+    compact = compact_json("metadata")
     line = F.format_string("[%s] [%s] [%s] %s", time, "level", "stage", "message")
     return run_log.withColumn(
         "line", F.concat(line, F.coalesce(F.concat(F.lit(" | "), compact), F.lit("")))

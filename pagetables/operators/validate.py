@@ -60,7 +60,7 @@ def validate(entity_rows: DataFrame) -> DataFrame:
         "entity_error": F.when(accepted, build_error(raw, kind)),
         "json_ld": F.when(accepted, build_json_ld(raw, kind)),
         "repairs": F.when(accepted & (kind == "Product"), price_repairs(raw)).otherwise(none),
-    }).drop("base", "urls", "dates")
+    }).drop("base", "urls", "dates", "passed", "source")
 
 
 def accepted_entities(validated: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Contracts, required fields, JSON-LD and page outcomes on small payloads."""
 
 import json
+from datetime import datetime
 
 import pytest
 
@@ -185,3 +186,44 @@ def test_outcomes(spark):
         (None, None, 200), ("ingestion", "Invalid URL format", 400),
         ("ingestion", "HTTP error: 404", 422), ("cleaning", "No HTML", 422),
         ("extraction", "No extraction result", 422), ("ingestion", "URL is required", 400)]
+
+
+# Entity as JSON text, and the JSON-LD behind @context and @type as text: keys stay as they were written.
+ORDERED = [
+    ('{"@type":"Product","name":"n","brand":{"z":{"b":1,"a":[{"d":1,"c":2}]},"name":"b","@type":"X"}}',
+     '"name":"n","brand":{"@type":"X","z":{"b":1,"a":[{"d":1,"c":2}]},"name":"b"}'),
+    ('{"@type":"Product", "name":"n", "brand": { "zip" : "1",\n "a" : null } }',
+     '"name":"n","brand":{"@type":"Brand","zip":"1","a":null}'),
+    ('{"@type":"Product","name":"n","brand":{"y":"{\\"q\\":1}","x":"[1]"}}',
+     '"name":"n","brand":{"@type":"Brand","y":"{\\"q\\":1}","x":"[1]"}'),
+    ('{"@type":"WebSite","name":{"y":1,"x":"{"},"potentialAction":{"target":{"b":1,"a":{"d":"x","c":2}},"queryInput":{"2":1,"1":2}}}',
+     '"name":{"y":1,"x":"{"},"potentialAction":{"@type":"SearchAction","target":{"b":1,"a":{"d":"x","c":2}},"query-input":{"2":1,"1":2}}'),
+    ('{"@type":"WebSite","name":"n","potentialAction":"none"}', '"name":"n"'),
+    ('{"@type":"Organization","name":"n","sameAs":[{"b":1,"a":2},"u"]}', '"name":"n"'),
+    ('{"@type":"Article","headline":"h","author":{"name":{"last":"l","first":"f"}},"publisher":"p"}',
+     '"headline":"h","author":{"@type":"Person","name":{"last":"l","first":"f"},"url":null},'
+     '"publisher":{"@type":"Organization"}'),
+    ('{"@type":"Event","name":"[1]","description":["b",{"b":1,"a":2}]}', '"name":"[1]","description":["b",{"b":1,"a":2}]'),
+]
+
+
+def test_keys_of_passed_through_values_keep_their_order(spark):
+    rows = [(n, URL, f'{{"usage": 1, "schemas": [null, {text}]}}', None) for n, (text, _) in enumerate(ORDERED)]
+    extractions = spark.createDataFrame(rows, "page_id long, page_url string, payload string, usage string")
+    found = va.validate(co.entities(extractions)).where("idx = 1").collect()
+    got = {r.page_id: r.json_ld.split(",", 2)[2][:-1] for r in found}
+    for n, (text, expected) in enumerate(ORDERED):
+        if "sameAs" in text:
+            expected += ',"sameAs":[{"b":1,"a":2},"u"]'
+        assert got[n] == expected, text
+
+
+def test_log_metadata_keeps_its_order(spark):
+    from pagetables.operators.runlog import log_lines
+
+    schema = "ts timestamp, page_id long, level string, stage string, message string, metadata string"
+    at = datetime(2026, 1, 2, 3, 4, 5)
+    texts = ['{"b": 1, "a": {"d": "x y", "c": [1, 2]}}', None, "[]", '"t"']
+    log = spark.createDataFrame([(at, n, "INFO", "S", "m", t) for n, t in enumerate(texts)], schema)
+    ends = [r.line.partition("] m")[2] for r in log_lines(log).orderBy("page_id").collect()]
+    assert ends == [' | {"b":1,"a":{"d":"x y","c":[1,2]}}', "", " | []", ' | "t"']
