@@ -34,6 +34,18 @@ DATES = [
     ("2026-01-21T23:30:00-05:00", "2026-01-22"), ("soon", "soon"), ("", None), (None, None),
     ("21 Jan 2026", "2026-01-21"), ("January 2, 2026", "2026-01-02"),
     ("01/21/2026", "2026-01-21"), ("Wed, 21 Jan 2026 07:28:00 GMT", "2026-01-21"),
+    ("Jan 21, 2026 1:30 PM", "2026-01-21"), ("1/21/26", "2026-01-21"), ("1-5-2026", "2026-01-05"),
+    ("5-Jan-2026", "2026-01-05"), ("21 january 99", "1999-01-21"), ("Sept 5 2026", "2026-09-05"),
+    ("Wed Jan 21 2026 23:30:00 GMT-0500 (Eastern Standard Time)", "2026-01-22"),
+    ("Wed Jan 21 2026 00:30:00 GMT+0200", "2026-01-20"), ("Jan 21 2026 00:30 +02:00", "2026-01-20"),
+    ("Jan 21 2026 11:30 PM EST", "2026-01-22"), ("Jan 21 2026 12:30 AM", "2026-01-21"),
+    ("Jan 21 2026 23:59:59.999Z", "2026-01-21"), ("Jan 21 2026 24:00", "2026-01-22"),
+    ("(posted) Jan 21 (Wed) 2026", "2026-01-21"), ("January 2026", "2026-01-01"), ("Jan 21", "2001-01-21"),
+    ("2/30/2026", "2026-03-02"), ("Published: Jan 21, 2026", "2026-01-21"), ("around 2026", "2026-01-01"),
+    ("Jan 21, 2026 at 10:00", "Jan 21, 2026 at 10:00"), ("21st Jan 2026", "21st Jan 2026"),
+    ("13/40/2026", "13/40/2026"), ("Jan 21 2026 25:00", "Jan 21 2026 25:00"), ("1 - 5 - 2026", "1 - 5 - 2026"),
+    ("Jan 21 2026 13:00 PM", "Jan 21 2026 13:00 PM"), ("1 2 3 4", "1 2 3 4"), ("v2", "v2"),
+    ("12345678901234", "12345678901234"), ("2026/1/5 10:00", "2026-01-05"), ("10:00", "10:00"),
     ("2026", "2026-01-01"), ("2026-05", "2026-05-01"), ("2026-01-21T10:00", "2026-01-21"),
 ]
 
