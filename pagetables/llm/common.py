@@ -62,13 +62,22 @@ def settle(df: DataFrame) -> DataFrame:
     """The rows of df from a table written in the shared folder.
 
     For loops: unlike a checkpoint, a table does not bring along the constraints of the plan that
-    made it, which grow with every round. The tables stay until the folder is cleared.
+    made it, which grow with every round. The tables stay until drop() or until the folder is cleared.
     """
     folder = shared_dir(df.sparkSession, "step")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that settle() wrote, and whose rows nothing reads any more."""
+    for table_ in tables:
+        jvm, conf = table_.sparkSession.sparkContext._jvm, table_.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in table_.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def only(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """The named columns alone, so that other columns of the input cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

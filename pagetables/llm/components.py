@@ -13,19 +13,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagetables.llm.common import settle
+from pagetables.llm import numtext as nt
+from pagetables.llm.common import drop, settle
 
 #: A Bloom filter of this many 64-bit words (2 MB) whatever the number of keys. With very many
 #: keys it lets more through, and the exact join after it drops them.
 BLOOM_WORDS = 1 << 18
 
 #: Links in a round, as a share of its comparisons, below which no further round of leaders is made and
-#: the bands that are left are searched by the exact join.
+#: the bands that are left are searched block by block.
 MIN_YIELD = 0.01
-#: Up to this many nodes outside a band's largest component are compared with the whole band as they are.
-DIRECT = 8
-#: Counters of shingles that order them from rare to frequent for the exact join.
-COUNTERS = 1 << 18
+#: Bytes of text in a block of a band that is searched in memory, and what a node counts besides its text.
+BLOCK, NODE_BYTES = 2_000_000, 200
 
 #: Edges that one task of union-find takes, 16 bytes each.
 EDGES_PER_TASK = 500_000
@@ -85,9 +84,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = current.union(current.select("b", "a"))
         least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = settle(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        drop(least)
         least = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         star = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        current = settle(_union(settle(star)))
+        before, star = [current, least, large], settle(star)
+        current = settle(_union(star))
+        drop(star, *before)
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
 
 
@@ -117,52 +119,85 @@ def _members(sketches: DataFrame) -> DataFrame:
             band = bands.flatten().to_numpy()
             hit = in_bloom(passes.value, band)
             yield pa.RecordBatch.from_arrays([pa.array(band[hit]), pa.array(key[hit])], names=["band", "key"])
-    return settle(sketches.select("key", "bands").mapInArrow(run, "band long, key long").join(shared, "band").distinct())
+    found = settle(sketches.select("key", "bands").mapInArrow(run, "band long, key long").join(shared, "band").distinct())
+    drop(shared)
+    return found
+
+
+def _resketched(held: DataFrame, finer: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """key and bands (a row of finer's result each) of held (key, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 5000):
+                part = batch.slice(at, 5000)
+                bands = finer(part.column(1))
+                counts = np.full(len(part), bands.shape[1], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), nt.lists(bands.ravel().view(np.int64), counts, pa.int64())], names=["key", "bands"])
+    return settle(held.select("key", "text").mapInArrow(run, "key long, bands array<long>"))
 
 
 #: Row, shingle and weight of each distinct shingle of a column of texts.
 Shingles = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(batch), 500):
-        yield batch.slice(at, 500)
+def in_prefix(row: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
+    """Which entries, ordered by row and then by any order of tokens that all rows share, are in the prefix of their row.
 
+    A prefix ends where what comes after it weighs less than threshold of the row; so two rows of that similarity have
+    a token of both prefixes in common, whatever the order is.
+    """
+    if not len(row):
+        return np.zeros(0, bool)
+    total = np.bincount(row, weight)
+    before = np.cumsum(weight) - weight
+    rest = total[row] - (before - before[np.searchsorted(row, row)])
+    return rest >= threshold * total[row] * (1 - 1e-9)
 
-def prefixes(rows: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:
-    """key, token and w (weight of the whole text) for the tokens in the prefix of each text of rows (key, text).
 
-    The shingles of all texts are put in one order, about from rare to frequent. A prefix ends where what comes
-    after it weighs less than threshold of the text; so two texts of that similarity have a token of both
-    prefixes in common, whatever the order is.
-    """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for piece in _pieces(batch):
-                total += np.bincount((shingles(piece.column(0))[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
-    found = rows.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, np.int64)
-    counts[found["at"].to_numpy()] = found["n"].to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
+def similar_in_block(texts: pa.Array, root: np.ndarray, lead: np.ndarray, other: np.ndarray, shingles: Shingles,
+                     threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of texts, left among lead and right among other (masks), of different roots and a similarity of threshold
+    or more: for each of lead, one such partner of each root that has any.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in _pieces(batch):
-                row, token, weight = shingles(piece.column(1))
-                order = np.lexsort((token, shared.value[(token % np.uint64(COUNTERS)).astype(np.int64)], row))
-                row, token, weight = row[order], token[order], weight[order]
-                w = np.bincount(row, weight, len(piece))
-                # weight from each token on to the end of its text
-                before = np.cumsum(weight) - weight
-                first = np.searchsorted(row, np.arange(len(piece)))
-                rest = w[row] - (before - before[first[row]]) if len(row) else weight
-                near = rest >= threshold * w[row] * (1 - 1e-9)
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(row[near])), pa.array(token[near].view(np.int64)), pa.array(w[row[near]])], names=["key", "token", "w"])
-    return rows.select("key", "text").mapInArrow(run, "key long, token long, w double")
+    Only texts with a token of both prefixes in common are compared; tokens are ordered by how many of the texts have them.
+    """
+    row, token, weight = shingles(texts)
+    n = len(texts)
+    _, token, counts = np.unique(token, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, counts[token], row))
+    row, token, weight = row[order], token[order], weight[order]
+    total = np.bincount(row, weight, n)
+    first = np.searchsorted(row, np.arange(n + 1))
+    prefix = in_prefix(row, weight, threshold)
+    listed = np.flatnonzero(prefix & other[row])
+    listed = listed[np.argsort(token[listed], kind="stable")]
+    start = np.searchsorted(token[listed], np.arange(len(counts) + 1))
+    held = np.zeros(len(counts))
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for a in np.flatnonzero(lead):
+        mine = slice(first[a], first[a + 1])
+        tokens = token[mine][prefix[mine]]
+        at = _ranges(start[tokens], start[tokens + 1])
+        near = np.unique(row[listed[at]])
+        near = near[(root[near] != root[a]) & (np.minimum(total[near], total[a]) >= np.maximum(total[near], total[a]) * (threshold * (1 - 1e-9)))]
+        if not len(near):
+            continue
+        held[token[mine]] = weight[mine]
+        at = _ranges(first[near], first[near + 1])
+        place = np.repeat(np.arange(len(near)), first[near + 1] - first[near])
+        common = np.bincount(place, np.minimum(held[token[at]], weight[at]), len(near))
+        held[token[mine]] = 0
+        near = near[common >= threshold * (1 - 1e-9) * (total[near] + total[a] - common)]
+        near = near[np.unique(root[near], return_index=True)[1]]
+        left.append(np.full(len(near), a))
+        right.append(near)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers from start[i] to before stop[i], one i after another."""
+    size = stop - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 def _once(pairs: DataFrame) -> DataFrame:
@@ -172,32 +207,37 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 
 def _rest(placed: DataFrame, held: DataFrame, shingles: Shingles, threshold: float) -> DataFrame:
-    """key and other: all pairs of different components of placed (band, key, root) that share a band and can have a
-    similarity of threshold, and perhaps more.
+    """key and other: pairs of placed (band, key, root) that share a band and have a similarity of threshold, enough
+    to join all components that such pairs join.
 
-    One node of such a pair is outside the band's largest component. Where those are few, they are compared
-    with the whole band; else only with nodes that have a prefix token in common and are of like weight.
+    One node of such a pair is outside the band's largest component. The nodes outside and all nodes of a band are
+    dealt into blocks of about BLOCK bytes, and each block of the one is compared with each of the other in a task's memory;
+    only links leave it.
     """
-    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    sizes = sizes.select("band", F.col("top.root").alias("top"), (F.col("all") - F.col("top.n")).alias("outside"))
-    rows = settle(placed.join(sizes, "band"))
-    few = rows.filter(F.col("outside") <= DIRECT)
-    leaders = few.filter("root <> top").select("band", F.col("key").alias("other"), F.col("root").alias("its"))
-    direct = few.join(leaders, "band").filter("root <> its").select("key", "other")
-    many = settle(rows.filter(F.col("outside") > DIRECT).groupBy("key").agg(
-        F.min("root").alias("root"), F.max(F.col("root") != F.col("top")).alias("leads")))
-    if many.isEmpty():
-        return _once(direct)
-    tokens = prefixes(held.join(many.select("key"), "key"), shingles, threshold)
-    tokens = settle(tokens.join(many, "key"))
-    leaders = tokens.filter("leads").select("token", F.col("key").alias("other"), F.col("root").alias("its"), F.col("w").alias("v"))
-    like = F.least("w", "v") >= F.greatest("w", "v") * (threshold * (1 - 1e-9))
-    return _once(direct.union(tokens.join(leaders, "token").filter("root <> its").filter(like).select("key", "other")))
+    cost = held.select("key", (F.octet_length("text") + NODE_BYTES).cast("long").alias("cost"))
+    sizes = placed.join(cost, "key").groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("cost").alias("cost"))
+    sizes = sizes.groupBy("band").agg(F.max(F.struct("n", "root", "cost")).alias("top"), F.sum("cost").alias("all"))
+    blocks = [F.ceil(c / F.lit(BLOCK)).cast("int") for c in (F.col("all") - F.col("top.cost"), F.col("all"))]
+    sizes = sizes.select("band", F.col("top.root").alias("top"), blocks[0].alias("leads"), blocks[1].alias("others"))
+    own = [F.pmod(F.xxhash64("key", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("leads", "others"))]
+    rows = placed.join(sizes, "band").withColumn("i_own", F.when(F.col("root") != F.col("top"), own[0])).withColumn("j_own", own[1])
+    cells = F.transform(F.sequence(F.lit(0), F.col("leads") - 1), lambda i: F.struct(i.alias("i"), F.col("j_own").alias("j")))
+    more = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.col("i_own").alias("i"), j.alias("j")))
+    cells = F.when(F.col("i_own").isNull(), cells).otherwise(F.array_union(cells, more))
+    rows = rows.select("band", "key", "root", "i_own", "j_own", F.explode(cells).alias("cell")).select(
+        "band", "cell.i", "cell.j", "key", "root", F.col("i_own").eqNullSafe(F.col("cell.i")).alias("lead"),
+        (F.col("j_own") == F.col("cell.j")).alias("other"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, root, lead, other = (table[c].to_numpy() for c in ("key", "root", "lead", "other"))
+        a, b = similar_in_block(table["text"].combine_chunks(), root, lead, other, shingles, threshold)
+        return pa.table({"key": key[a], "other": key[b]})
+    return _once(rows.join(held, "key").groupBy("band", "i", "j").applyInArrow(run, "key long, other long"))
 
 
 def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame],
-         shingles: Shingles, threshold: float) -> DataFrame:
+         shingles: Shingles, threshold: float, finer: Callable[[pa.Array], np.ndarray] | None = None) -> DataFrame:
     """Components of the nodes that verified links join: node, root (all but the roots).
 
     sketches: key, bands (array of long; nodes with a band in common may be linked); a key may stand
@@ -206,15 +246,24 @@ def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: C
 
     shingles gives the weighted sets whose Jaccard similarity verify holds against threshold.
 
+    finer gives other bands for the texts of the nodes in shared bands, one row of unsigned 64-bit numbers each. Where it
+    is given, nodes are compared that have one of those in common too: cheap bands of few minima find the nodes that may have a
+    partner at all, bands of more minima, worked out for these alone, say which.
+
     The nodes of a band are put in the order of a hash. In round k, the next 2^k of each band with
     nodes of several components are compared with all its nodes outside their components. So a band of
     up to 4 nodes is compared in full in the first two rounds, one of 8 in three, and so
     on. After a round, the second or later, in which fewer than MIN_YIELD of the comparisons gave a
-    link, all pairs that are left are searched at once by _rest(). So any two nodes of a band that
+    link, all pairs that are left are searched by _rest(). So any two nodes of a band that
     verify() links are in one component in the end.
     """
     members = _members(sketches)
     held = settle(texts(members.select("key").distinct()))
+    if finer:
+        fine = _resketched(held, finer)
+        drop(members)
+        members = _members(fine)
+        drop(fine)
     labels = settle(sketches.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("root")))
     placed, start, size = members.withColumn("root", F.col("key")), 0, 1
 
@@ -230,16 +279,19 @@ def link(sketches: DataFrame, texts: Callable[[DataFrame], DataFrame], verify: C
         pairs = settle(_once(pairs))  # two leaders meet both ways
         found, links = compared(pairs)
         if links:
-            labels = settle(components(labels.toDF("a", "b").union(found)))
+            before, labels = labels, settle(components(labels.toDF("a", "b").union(found)))
+            drop(before)
         start, size = start + size, 2 * size
         last = start >= 3 and links < MIN_YIELD * pairs.count()
+        drop(pairs, found)
         now = placed.select("band", "key").join(labels, placed["key"] == labels["node"], "left").select(
             "band", "key", F.coalesce("root", "key").alias("root"))
         now = settle(now)
         bands = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
         # what is left to compare: several components, and nodes that were not compared with all others
         bands = settle(bands.filter((F.col("low") != F.col("high")) & (F.col("n") > start + 1)).select("band"))
-        placed = settle(now.join(bands, "band"))
+        before, placed = placed, settle(now.join(bands, "band"))
+        drop(before, now, bands)
         if placed.isEmpty():
             return labels
         if last:

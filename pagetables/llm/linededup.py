@@ -18,10 +18,17 @@ THRESHOLD = 0.8
 #: Lines of fewer characters are never removed.
 MIN_CHARS = 20  # SHINGLE at least
 BANDS, ROWS = 9, 3
+#: Bands for the lines that share one of those: at a similarity of 0.8, 0.9999 of the pairs have one in common.
+FINE_BANDS, FINE_ROWS = 30, 6
 
 _RANDOM = np.random.default_rng(20240229)
 _FACTORS = _RANDOM.integers(1 << 31, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _MASKS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_FINE_FACTORS = _RANDOM.integers(1 << 31, 1 << 32, FINE_BANDS * FINE_ROWS, dtype=np.uint32) | np.uint32(1)
+_FINE_MASKS = _RANDOM.integers(0, 1 << 32, FINE_BANDS * FINE_ROWS, dtype=np.uint32)
+#: Minima a band, factors and masks.
+COARSE = (ROWS, _FACTORS, _MASKS)
+FINE = (FINE_ROWS, _FINE_FACTORS, _FINE_MASKS)
 
 
 def eligible(texts: nt.Texts, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,9 +77,11 @@ def window_hashes(data: np.ndarray, heads: np.ndarray, size: int = SHINGLE) -> n
     return out
 
 
-def signature_bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-    """BANDS keys for each run of bytes, of SHINGLE characters at least: ROWS minima of its MinHash signature each."""
-    bands = np.empty((len(start), BANDS), np.uint64)
+def signature_bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 18,
+                    family: tuple[int, np.ndarray, np.ndarray] = COARSE) -> np.ndarray:
+    """Band keys for each run of bytes, of SHINGLE characters at least: some minima of its MinHash signature each."""
+    rows, factors, masks = family
+    bands = np.empty((len(start), len(factors) // rows), np.uint64)
     cuts = np.append(np.searchsorted(start, np.arange(0, len(data), step)), len(start))
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if a == b:
@@ -82,15 +91,21 @@ def signature_bands(data: np.ndarray, start: np.ndarray, end: np.ndarray, step:
         edges = np.column_stack([np.searchsorted(heads, start[a:b] - start[a]), np.searchsorted(heads, end[a:b] - start[a]) - SHINGLE + 1]).ravel()
         small = (window_hashes(piece, heads) >> np.uint64(32)).astype(np.uint32)
         edges = edges[:-1] if edges[-1] >= len(small) else edges
-        for band in range(BANDS):
+        for band in range(bands.shape[1]):
             key = np.full(b - a, np.uint64(band + 1))
-            for r in range(band * ROWS, (band + 1) * ROWS):
-                least = np.minimum.reduceat((small ^ _MASKS[r]) * _FACTORS[r], edges)[::2]
+            for r in range(band * rows, (band + 1) * rows):
+                least = np.minimum.reduceat((small ^ masks[r]) * factors[r], edges)[::2]
                 key = nt.mix(key * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
             bands[a:b, band] = key
     return bands
 
 
+def fine_bands(column: pa.Array) -> np.ndarray:
+    """FINE_BANDS keys for each line."""
+    return np.concatenate([np.empty((0, FINE_BANDS), np.uint64)] + [
+        signature_bands(texts.data, texts.starts[:-1], texts.starts[1:], family=FINE) for texts in nt.chunks(column)])
+
+
 def _shingles(column: pa.Array) -> np.ndarray:
     """Sorted distinct shingles of a column of at most 65,536 texts: the row in the top 16 bits, then 48 bits of the
     hash. A text of fewer than SHINGLE characters is one shingle, an empty one has none."""
@@ -204,7 +219,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = link(
         lines.filter(F.size("bands") > 0).select("key", "bands"),
         lambda keys: line_texts(docs, id_col, text_col, min_chars, firsts, keys),
-        lambda pairs: verified(pairs, threshold), shingle_sets, threshold)
+        lambda pairs: verified(pairs, threshold), shingle_sets, threshold, fine_bands)
     # roots of components are not in labels; they keep themselves
     roots = labels.select(F.col("root").alias("node"), "root").distinct()
     linked = labels.union(roots).select(F.col("node").alias("key"), "root")

@@ -157,16 +157,27 @@ def test_all_pairs_of_a_big_band_are_linked(spark):
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
-def test_prefixes_lose_no_pair(spark, threshold):
+def test_blocks_lose_no_pair(threshold):
     rng = random.Random(6)
     base = ["".join(rng.choice("ab é") for _ in range(60)) for _ in range(30)]
     texts = sorted({b[:k] + b[k + rng.randrange(1, 9):] for b in base for k in (2, 5, 30, 52, 57)} | {"", "short"})
-    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
-    found = {}
-    for r in components.prefixes(rows, linededup.shingle_sets, threshold).collect():
-        found.setdefault(r.key, set()).add(r.token)
-    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] and similar(texts[i], texts[j]) >= threshold]
-    assert len(near) > 50 and all(found[i] & found[j] for i, j in near)
+    near = {(i, j) for i, j in combinations(range(len(texts)), 2) if texts[i] and similar(texts[i], texts[j]) >= threshold}
+    everyone, none = np.ones(len(texts), bool), np.arange(len(texts))
+    a, b = components.similar_in_block(pa.array(texts), none, everyone, everyone, linededup.shingle_sets, threshold)
+    assert len(near) > 50 and {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == near
+    # one partner of each root, only between the two sides
+    root, lead = none // 7, none % 3 == 0
+    a, b = components.similar_in_block(pa.array(texts), root, lead, ~lead, linededup.shingle_sets, threshold)
+    want = {(i, root[j]) for p in near for i, j in (p, p[::-1]) if lead[i] and not lead[j] and root[i] != root[j]}
+    assert sorted(zip(a.tolist(), root[b].tolist(), strict=True)) == sorted(want)
+    assert all((min(p), max(p)) in near for p in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_a_big_band_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 4000)
+    lines, root = pairs_in_one_band(spark, 150)
+    assert all(root[a] == root[b] for a, b in zip(lines[:150], lines[150:], strict=True))
+    assert len(set(root.values())) == 150
 
 
 def test_recall_at_the_threshold_through_link(spark):
@@ -189,3 +200,19 @@ def test_recall_at_the_threshold_through_link(spark):
     recall = sum(root.get(k, k) == root.get(k + 1, k + 1) for k in range(0, len(lines), 2)) / len(pairs)
     print(f"recall {recall}")
     assert recall > 0.9977  # eight bands: 0.997
+
+
+def test_recall_at_the_threshold_with_finer_bands(spark):
+    rng = random.Random(8)
+    lines = []
+    while len(lines) < 8000:
+        a = "".join(rng.choice("abcdefgh ") for _ in range(100))
+        at = rng.randrange(10, 85)
+        b = a[:at] + "XYZ" + a[at + 3:]
+        if 0.8 <= similar(a, b) < 0.82:
+            lines += [a, b]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(5)
+    gone = {r.id: r.removed for r in linededup.removed_lines(docs).collect()}
+    assert all(k % 2 and [(x.of_id, x.of_line) for x in removed] == [(k - 1, 0)] for k, removed in gone.items())
+    print(f"recall {len(gone) / 4000}")
+    assert len(gone) / 4000 > 0.9977
