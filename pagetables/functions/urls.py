@@ -6,6 +6,7 @@ Values that are used more than once are bound with let(), so the trees stay smal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .hosts import standard_host
 from .text import let, non_empty
 
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
@@ -14,6 +15,9 @@ _HOST = r"""(?:[^\x00-\x20/?#\\@:<>^|"`{}\[\]]+|\[[0-9a-fA-F:.]+\])"""
 _SPECIAL_URL = (
     rf"^(?i:https?|wss?|ftp):[/\\]*(?:[^/?#\\@]*@)*{_HOST}(?::[0-9]{{0,5}})?(?:[/?#\\][\s\S]*)?$"
 )
+_AUTHORITY = r"^((?i:https?|wss?|ftp):[/\\]*(?:[^/?#\\@]*@)*)([^/?#\\:]*)"
+#: Hosts that are right as they are but for capitals: the last label starts with a letter, or an address in brackets.
+_PLAIN_HOST = r"^(?:(?:[a-zA-Z0-9_-]+\.)*[a-zA-Z][a-zA-Z0-9_-]*\.?|\[.*)$"
 _OTHER_URL = r"^(?!(?i:https?|wss?|ftp):)[a-zA-Z][a-zA-Z0-9+.\-]*:"
 _ABSOLUTE_URL = rf"{_SPECIAL_URL}|{_OTHER_URL}"
 _EDGE_SPACE = r"^[\x00-\x20]+|[\x00-\x20]+$"
@@ -23,7 +27,12 @@ _RUNS = rf"""{_UNSAFE_RUN}|[\x21\x23-\x3b\x3d\x3f-\x5f\x61-\x7a\x7c\x7e]+"""
 
 def is_url(col) -> Column:
     """Would a browser accept it as an absolute URL?"""
-    return F.regexp_replace(col, _EDGE_SPACE, "").rlike(_ABSOLUTE_URL)
+    def check(u):
+        host = F.regexp_extract(u, _AUTHORITY, 2)
+        good = let(host, lambda h: h.rlike(_PLAIN_HOST) | standard_host(h, spelled=False).isNotNull())
+        return u.rlike(_ABSOLUTE_URL) & (~u.rlike(_SPECIAL) | good)
+
+    return let(F.regexp_replace(col, _EDGE_SPACE, ""), check)
 
 
 def percent_encode(col: Column) -> Column:
@@ -63,7 +72,13 @@ def without_dots(col: Column) -> Column:
 def url_base(url) -> Column:
     """STRUCT origin, path, query of a base URL, in standard spelling; null if it is none."""
     def parts(u):
-        authority = F.lower(F.regexp_extract(u, r"^([^:]+://[^/?#]*)", 1))
+        def spelled(host):
+            before, after = F.regexp_extract(u, _AUTHORITY, 1), F.regexp_extract(u, _AUTHORITY + r"([^/?#]*)", 3)
+            name = F.when(host.rlike(_PLAIN_HOST), F.lower(host)).otherwise(standard_host(host))
+            return F.when(u.rlike(_SPECIAL), F.concat(F.lower(before), name, F.lower(after))).otherwise(
+                F.lower(F.regexp_extract(u, r"^([^:]+://[^/?#]*)", 1)))
+
+        authority = let(F.regexp_extract(u, _AUTHORITY, 2), spelled)
         path = F.coalesce(non_empty(F.regexp_extract(u, r"^[^:]+://[^/?#]*([^?#]*)", 1)), F.lit("/"))
         return F.when(
             is_url(u) & u.contains("://"),

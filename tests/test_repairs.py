@@ -1,10 +1,12 @@
 """Repairs of prices, URLs and dates."""
 
 import json
+import random
 import time
 
 from pyspark.sql import functions as F
 
+from pagetables.functions.hosts import punycode
 from pagetables.functions.repair import price_message, repair_date, repair_price, repair_url
 from pagetables.functions.urls import is_url
 from pagetables.functions.variants import pretty_json
@@ -26,6 +28,13 @@ URLS = [
     ("/a b/é?q=ü#x y", BASE, "https://h.example/a%20b/%C3%A9?q=%C3%BC#x%20y"),
     ("x/../../y/.", BASE, "https://h.example/y/"), ("HTTP://X.com", BASE, "http://x.com/"),
     ("z", "http://H.com:80", "http://h.com/z"), ("../../..", BASE, "https://h.example/"),
+    ("z", "http://bücher.de/", "http://xn--bcher-kva.de/z"), ("z", "http://EX%41MPLE.com", "http://example.com/z"),
+    ("HTTP://日本語.JP:8080/a", BASE, "http://xn--wgv71a119e.jp:8080/a"), ("z", "http://ＥＸ。com/", "http://ex.com/z"),
+    ("z", "http://0x7f.1/", "http://127.0.0.1/z"), ("z", "http://0300.0250.257/", "http://192.168.1.1/z"),
+    ("z", "http://4294967295", "http://255.255.255.255/z"), ("z", "http://[::1]:80/", "http://[::1]/z"),
+    ("http://1.2.3.256", BASE, None), ("http://1.2.3.4.5/", BASE, None), ("http://08.1/", BASE, None),
+    ("http://a%00b/", BASE, None), ("http://a%zz/", BASE, None), ("http://4294967296", BASE, None),
+    ("http://1.2.3.4", BASE, "http://1.2.3.4"), ("http://a.b.3c/", BASE, "http://a.b.3c/"), ("z", "http://u@%C3%BC.de", "http://u@xn--tda.de/z"),
 ]
 DATES = [
     ("2026/01/21", "2026-01-21"), ("Jan 21 2026", "2026-01-21"), ("2026-1-5", "2026-01-05"),
@@ -76,6 +85,14 @@ def test_urls(spark):
     check(again.where("raw LIKE 'http%'"), repair_url("raw", "base"))
 
 
+def test_labels_of_other_scripts(spark):
+    rng = random.Random(4)
+    letters = "abz09-éüßñжяλωיםあ漢語한😀"
+    labels = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    rows = [(x, x.encode("punycode").decode()) for x in labels if not x.isascii()]
+    check(spark.createDataFrame(rows, "raw string, want string"), punycode(F.col("raw")))
+
+
 def test_url_gate(spark):
     rows = [("https://a.com", True), ("foo", False), ("http://", False), ("mailto:x", True),
             ("http://a b.com", False), ("https://a.com:99/x y", True), ("1http://x", False)]
