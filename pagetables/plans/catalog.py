@@ -187,6 +187,20 @@ def url_repair(spark, sf):
     return raw.select("page_id", "raw", repair_url("raw", "url").alias("repaired"))
 
 
+def host_repair(spark, sf):
+    """A relative link on bases whose host is spelled as a number, in another script, or wrongly."""
+    number = "(page_id * 7919 % 4294967296)"
+    base = (
+        f"CASE page_id % 5 WHEN 0 THEN 'http://0x' || hex({number}) || '/' "
+        f"WHEN 1 THEN 'http://' || CAST({number} AS STRING) || '/x/y' "
+        f"WHEN 2 THEN 'http://0' || conv({number}, 10, 8) "
+        "WHEN 3 THEN 'http://B%C3%BCcher.H' || CAST(page_id AS STRING) || 'a.example:80/q' "
+        "ELSE 'http://1.2.3.' || CAST(256 + page_id % 10 AS STRING) END"
+    )
+    rows = _pages(spark, sf).selectExpr("page_id", f"{base} AS base")
+    return rows.select("page_id", repair_url(F.lit("p"), "base").alias("repaired"))
+
+
 def date_repair(spark, sf):
     raw = de.read(spark, sf, "orders").selectExpr("o_orderkey", f"{de._DATE_SPELLED} AS raw")
     return raw.select("o_orderkey", "raw", repair_date("raw").alias("repaired"))
@@ -355,6 +369,7 @@ QUERIES = {
     # repairs
     "price_repair": price_repair,
     "url_repair": url_repair,
+    "host_repair": host_repair,
     "date_repair": date_repair,
     # required fields and JSON-LD
     "required_fields": required_rule,
