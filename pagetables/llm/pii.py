@@ -9,6 +9,7 @@ finds collisions and draws again.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import ipaddress
@@ -55,12 +56,17 @@ SYLLABLES = {
     "GREEK": ["βα", "γορ", "δεν", "καλ", "λο", "μαρ", "νι", "πολ", "ρου", "ταλ"],
 }
 
+# Small words within names.
+PARTICLES = ["al", "bin", "da", "de", "del", "della", "den", "der", "di", "dos", "du", "el", "ibn", "la", "le", "ten", "ter", "van", "von", "zu", "zur"]
+
 _TITLE = "|".join(re.escape(t) for names in TITLES.values() for t in sorted(names, key=len, reverse=True))
-_UPPER = r"[^\W\d_a-zа-яα-ω]"
+#: A letter that is no small Latin, Cyrillic or Greek one.
+_UPPER = r"[^\W\d_a-zß-öø-ÿа-яѐ-џα-ωάέήίόύώ]"
 _INITIALS = rf"(?:{_UPPER}\.-?)+"
 _NAME = rf"(?:{_UPPER}[^\W\d_]*(?:['’-][^\W\d_]+)+|{_UPPER}[^\W\d_]+)"
 # A line feed may stand after a title or initials; after a full word the next line is another sentence as often as not.
 _GIVEN = rf"(?:{_NAME}[^\S\n]+|{_INITIALS}\s*)"
+_PARTICLE = rf"(?:{'|'.join(PARTICLES)})[^\S\n]+"
 #: Titles in capitals need a name in capitals; MS, SR and SIR also mean other things.
 _CAPITALS = "|".join(re.escape(t.upper()) for names in TITLES.values() for t in names if t not in ("Ms", "Sr", "Sir"))
 _LOUD = rf"{_UPPER}(?:{_UPPER}|['’-](?={_UPPER}))+"
@@ -68,6 +74,8 @@ _BEFORE = rf"(?:{_TITLE})\.?\s+|(?:{_CAPITALS})\.?\s+(?=(?:{_INITIALS}\s*)*{_LOU
 PATTERNS: Mapping[str, re.Pattern[str]] = {
     "secret": re.compile(
         r"""\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b|\bsk-[0-9A-Za-z]{20,}\b"""
+        r"""|(?<![\w-])eyJ[0-9A-Za-z_-]{8,}+\.eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+"""
+        r"""|-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:[0-9A-Za-z+/=:,.\s]++|-(?!----))*+-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----"""
         r"""|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b["']?\s{0,3}[:=]\s{0,3}["']?)()"""),  # the value follows
     "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,24}(?![A-Za-z0-9-])", re.ASCII),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII),
@@ -75,12 +83,12 @@ PATTERNS: Mapping[str, re.Pattern[str]] = {
     "ip": re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)", re.ASCII),
     "ssn": re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])", re.ASCII),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", re.ASCII),
-    "person": re.compile(rf"(?<!\w)(?:{_BEFORE})(?:{_GIVEN}){{0,3}}{_NAME}"),
+    "person": re.compile(rf"(?<!\w)(?:{_BEFORE})(?:{_GIVEN}|{_PARTICLE})*{_NAME}"),
 }
 _VALUE = re.compile(r"""[^\s"'<>|]{8,}?(?=[.,;!?]?(?:["'\s<>|#*$%&!]|$))""")
 _UNTIL_DIGIT = re.compile(r"""[^\s"'\d]*+""")
 #: What a text must hold for a pattern to be tried at all.
-_HINTS = {"secret": re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|(?i:password|passwd|pwd|token|secret|api_?key)"), "email": re.compile("@"),
+_HINTS = {"secret": re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|eyJ|PRIVATE KEY|(?i:password|passwd|pwd|token|secret|api_?key)"), "email": re.compile("@"),
           "iban": re.compile(r"[A-Z]{2}\d\d", re.ASCII), "person": re.compile(rf"(?<!\w)(?:{_BEFORE})")}
 _DIGIT = re.compile(r"\d", re.ASCII)
 
@@ -150,7 +158,7 @@ def _mentions(text: str, persons: list[tuple[int, int]]) -> Iterator[tuple[int,
 def detect(text: str) -> list[tuple[str, int, int]]:
     """Kind, start and end of each entity, in order. Of overlapping ones, the kind named first in
     PATTERNS stays."""
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str]] = []  # in order, and none overlaps another
     digits = _DIGIT.search(text) is not None
     for kind, pattern in PATTERNS.items():
         if not (_HINTS[kind].search(text) if kind in _HINTS else digits):
@@ -160,9 +168,11 @@ def detect(text: str) -> list[tuple[str, int, int]]:
             titled = [(s + re.match(_BEFORE, text[s:e + 1]).end(), e) for s, e in spans]
             spans = [*titled, *_mentions(text, titled)]
         for start, end in spans:
-            if _real(kind, text[start:end]) and not any(s < end and start < e for s, e, _ in found):
-                found.append((start, end, kind))
-    return [(k, s, e) for s, e, k in sorted(found)]
+            at = bisect.bisect_left(found, (start,))
+            free = (at == 0 or found[at - 1][1] <= start) and (at == len(found) or found[at][0] >= end)
+            if free and _real(kind, text[start:end]):
+                found.insert(at, (start, end, kind))
+    return [(k, s, e) for s, e, k in found]
 
 
 def _round(key: bytes, data: str) -> int:
@@ -261,15 +271,18 @@ def surrogate(key: bytes, kind: str, entity: str, gender: str = "n", attempt: in
         labels = host.split(".")
         return same_format(key, tweak, ".".join(labels[:-1]) + "@" + name).partition("@")[2] + "@" + same_format(
             key, tweak, ".".join(labels[:-1]) + "@" + name).partition("@")[0] + "." + labels[-1]
+    if kind == "secret" and entity.startswith("-----"):
+        head, body, tail = re.fullmatch(r"(-----[A-Z ]+-----)(.*)(-----[A-Z ]+-----)", entity, re.S).groups()
+        return head + same_format(key, tweak, body) + tail
     if kind == "secret":
         hexes = [c for c in ("0123456789abcdef", "0123456789ABCDEF") if set(entity) <= set(c) and len(entity) > 15]
-        fixed = next((p for p in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-") if entity.startswith(p)), "")
+        fixed = next((p for p in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ") if entity.startswith(p)), "")
         return fixed + same_format(key, tweak, entity[len(fixed):], hexes or _CLASSES)
     if kind == "person":
         script, words = _script(entity), entity.split(" ")
         family = _family(key, f"{tweak}|{script}", words[-1], script, 3 + attempt)
         pool = GIVEN[script, gender]
-        given = [(w, pool[_round(key, f"{tweak}|given|{w}") % len(pool)]) for w in words[:-1]]
+        given = [(w, w if w in PARTICLES else pool[_round(key, f"{tweak}|given|{w}") % len(pool)]) for w in words[:-1]]
         return " ".join([*(name[0] + "." if w.endswith(".") else name for w, name in given), family])
     return same_format(key, tweak, entity)
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -102,7 +104,9 @@ def test_ten_thousand_surnames_get_distinct_surrogates(spark):
 @pytest.mark.parametrize(("text", "names"), [
     ("Mr Peter Novak left. Novak and Peter Novak, NOVAK too; Novakia", ["Peter Novak", "Novak", "Peter Novak", "NOVAK"]),
     ("Mr. J. R. O'Brien, Mrs Smith-Jones", ["J. R. O'Brien", "Smith-Jones"]), ("MR SMITH and DR. J. DOE", ["SMITH", "J. DOE"]),
-    ("Dear Mr\nSmith\nThank you", ["Smith"]), ("Mr  Ada\tLovelace", ["Ada\tLovelace"]), ("MS Word", [])])
+    ("Dear Mr\nSmith\nThank you", ["Smith"]), ("Mr  Ada\tLovelace", ["Ada\tLovelace"]), ("MS Word", []),
+    ("Mr Jean Paul Marie Luc Henri Dupont", ["Jean Paul Marie Luc Henri Dupont"]), ("Mr de Souza", ["de Souza"]), ("Mr Dupont était là", ["Dupont"]),
+    ("Mr Ludwig van Beethoven; Beethoven", ["Ludwig van Beethoven", "Beethoven"]), ("Mr von der Leyen", ["von der Leyen"]), ("Mr van", [])])
 def test_names(text, names):
     assert kinds(text) == [("person", n) for n in names]
 
@@ -116,3 +120,41 @@ def test_long_secrets_go_whole(n):
     # no run of the value is left in clear
     assert len(new) == len(value) and sum(a == b for a, b in zip(new, value, strict=True)) < len(value) / 8
     assert kinds("pwd=" * 100_000) == []
+
+
+def test_keys_and_tokens_without_a_word_before_them():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nMIIEow/+AB=\nq83v\n-----END RSA PRIVATE KEY-----"
+    token = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK"
+    assert kinds(f"a {key} b {token}.") == [("secret", key), ("secret", token)]
+    new = pii.surrogate(KEY, "secret", key)
+    assert len(new) == len(key) and new.startswith("-----BEGIN RSA PRIVATE KEY-----\n") and new.endswith("\n-----END RSA PRIVATE KEY-----") and "MIIEow" not in new
+    assert pii.surrogate(KEY, "secret", token).startswith("eyJ")
+    assert kinds("-----BEGIN PRIVATE KEY-----\nab " * 20_000) == [] and kinds("eyJ-" * 100_000) == []
+
+
+def test_particles_stay(spark):
+    assert pii.surrogate(KEY, "person", "ludwig van beethoven", "m").split(" ")[1] == "van"
+
+
+def test_detect_against_brute_force():
+    rng = random.Random(9)
+    parts = ["Mr ", "Ann ", "van ", "Ito", "a@b.example", "password: x1234567", " 4111 1111 1111 1111", "10.1.2.3", " ", "\n", "555-123-4567", "+49 30 123456", "token=", "078-05-1120", "é"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(12))
+        taken, want = set(), []
+        for kind, pattern in pii.PATTERNS.items():
+            spans = list(pii._secrets(text)) if kind == "secret" else [m.span() for m in pattern.finditer(text)]
+            if kind == "person":
+                titled = [(s + re.match(pii._BEFORE, text[s:e + 1]).end(), e) for s, e in spans]
+                spans = [*titled, *pii._mentions(text, titled)]
+            for s, e in spans:
+                if pii._real(kind, text[s:e]) and taken.isdisjoint(range(s, e)):
+                    taken |= set(range(s, e))
+                    want.append((s, e, kind))
+        assert pii.detect(text) == [(k, s, e) for s, e, k in sorted(want)]
+
+
+def test_many_entities_in_one_text():
+    began = time.monotonic()
+    assert len(pii.detect(" ".join(f"u{i}@h.example" for i in range(100_000)))) == 100_000
+    assert time.monotonic() - began < 20
