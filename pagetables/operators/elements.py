@@ -143,7 +143,7 @@ def _page_arrays(marked: DataFrame, keep: tuple, wanted: set) -> DataFrame:
     }
     return marked.groupBy("page_id").agg(
         *[F.max(k).alias(k) for k in keep],
-        F.coalesce(F.sum(utf16_length("tok")), F.lit(0)).alias("original_length"),
+        F.coalesce(F.max("html_length"), F.lit(0)).alias("original_length"),
         *[make().alias(f"a_{name}") for name, make in arrays.items() if name in wanted],
     )
 
@@ -332,7 +332,8 @@ def clean_pages(
     """
     columns = CLEAN_COLUMNS if columns is None else columns
     wanted = set().union(*[_CLEAN_COLUMNS[c][1] for c in columns])
-    marked = _with_counts(mark_removed(tree(pages, colocated, keep), rules))
+    pages = pages.withColumn("html_length", utf16_length("html"))
+    marked = _with_counts(mark_removed(tree(pages, colocated, (*keep, "html_length")), rules))
     arrays = _page_arrays(marked, keep, wanted)
     return arrays.select("page_id", *keep, *[_CLEAN_COLUMNS[c][0]().alias(c) for c in columns])
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.html import attributes_of, raw_content, split_tokens, tag_of
 from ..functions.text import decode_entities
+from .nesting import well_nested
 
 PAGE_END = 2**31 - 1
 
@@ -29,15 +30,21 @@ def by_page(pages: DataFrame, colocated: bool = False) -> DataFrame:
     return pages.repartition(partitions, "page_id")
 
 
-def tokens(pages: DataFrame, colocated: bool = False, keep: tuple = ()) -> DataFrame:
+def tokens(
+    pages: DataFrame, colocated: bool = False, keep: tuple = (), in_tree_order: bool = False,
+) -> DataFrame:
     """(page_id, i, tok, tag, is_close), in document order; i counts from 0.
 
     A page without any token keeps one row with a null i.  Page columns named in `keep`
-    ride on the page's first row only, so they are not copied to every token.
+    ride on the page's first row only, so they are not copied to every token.  With
+    `in_tree_order`, tokens that are misnested come in the order of the page's tree.
     """
     split = by_page(pages, colocated).select(
-        "page_id", *keep, F.posexplode_outer(split_tokens(F.col("html"))).alias("i", "tok")
+        "page_id", *keep, split_tokens(F.col("html")).alias("tokens")
     )
+    if in_tree_order:
+        split = split.withColumn("tokens", well_nested(F.col("tokens")))
+    split = split.select("page_id", *keep, F.posexplode_outer("tokens").alias("i", "tok"))
     first = F.coalesce(F.col("i"), F.lit(0)) == 0
     return split.select(
         "page_id", "i", "tok",
@@ -193,5 +200,5 @@ def with_text(node_rows: DataFrame) -> DataFrame:
 
 
 def tree(pages: DataFrame, colocated: bool = False, keep: tuple = ()) -> DataFrame:
-    """Tokens with subtree ends, attributes and decoded text."""
-    return with_text(with_attrs(nodes(tokens(pages, colocated, keep))))
+    """Tokens in tree order with subtree ends, attributes and decoded text."""
+    return with_text(with_attrs(nodes(tokens(pages, colocated, keep, in_tree_order=True))))
