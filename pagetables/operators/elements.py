@@ -322,18 +322,19 @@ DOCUMENT_COLUMNS = [
 
 def clean_pages(
     pages: DataFrame, columns: list | None = None, keep: tuple = ("url",),
-    colocated: bool = False, rules=None,
+    colocated: bool = False, rules=None, in_tree_order: bool = False,
 ) -> DataFrame:
     """The cleaning result: one row per page.
 
     cleaned_html, visible_text, headings, lists, tables, images, links, buttons, meta,
     paragraphs, json_ld (blocks found on the page) and the size and removal figures.
-    Name `columns` to plan only those.  `rules=[]` cleans nothing away.
+    Name `columns` to plan only those.  `rules=[]` cleans nothing away.  With
+    `in_tree_order`, misnested tags make the tree that a parser makes of them.
     """
     columns = CLEAN_COLUMNS if columns is None else columns
     wanted = set().union(*[_CLEAN_COLUMNS[c][1] for c in columns])
     pages = pages.withColumn("html_length", utf16_length("html"))
-    marked = _with_counts(mark_removed(tree(pages, colocated, (*keep, "html_length")), rules))
+    marked = _with_counts(mark_removed(tree(pages, colocated, (*keep, "html_length"), in_tree_order), rules))
     arrays = _page_arrays(marked, keep, wanted)
     return arrays.select("page_id", *keep, *[_CLEAN_COLUMNS[c][0]().alias(c) for c in columns])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import fixed
-from ..functions.html import tag_of
+from ..functions.html import split_tokens, tag_of
 
 # What an entry of the new order is: token * 3 + kind.
 AS_IS, AGAIN, END = range(3)
@@ -341,8 +341,9 @@ class Order:
 def new_order(names: list[str]) -> list[int] | None:
     """The order of a page's tokens, as token * 3 + kind; null if they stay as they are.
 
-    A name is that of a tag, with a slash before it for an end tag and after it for a tag
-    that closes itself, and for formatting elements with what tells their attributes apart.
+    A name is that of a tag, with a slash before it for an end tag, and = and what tells
+    attributes apart after it, and a last slash for a tag that closes itself; text is #text
+    or #space, all that is neither begins with #.
     """
     page = Order()
     for i, name in enumerate(names):
@@ -351,7 +352,7 @@ def new_order(names: list[str]) -> list[int] | None:
         elif name[0] == "#" and name != "#hidden":
             (page.stack[-1].out if page.stack else page.out).append(i * 3)
         elif name[0] == "/":
-            page.close(name[1:], i)
+            page.close(name[1:].partition("=")[0], i)
         else:
             tag = name.rstrip("/").partition("=")[0]
             page.start(tag, i, name, name[-1] == "/")
@@ -379,29 +380,67 @@ def _orders(names: pd.Series) -> pd.Series:
     return names.map(lambda page: None if page is None else new_order(page.split(_BY_LINE)))
 
 
-def _name_of(tok: Column) -> Column:
-    """Name of a token as new_order reads it."""
-    tag = tag_of(tok)
-    return (
-        F.when(tag == "#text", F.when(tok.rlike(r"^[ \t\n\f\r]*+\z"), "#space").otherwise("#text"))
-        .when(tag.startswith("#"), tag)
-        .when(tok.startswith("</"), F.concat(F.lit("/"), tag))
-        .when(tag.isin(*FORMATTING), F.concat(tag, F.lit("="), F.crc32(tok.cast("binary"))))
-        .when((tag == "input") & tok.rlike("""(?i)\\stype\\s*=\\s*["']?hidden\\b"""), "#hidden")
-        .when(tok.endswith("/>"), F.concat(tag, F.lit("/")))
-        .otherwise(tag)
-    )
+_INLINE = "|".join(sorted(FORMATTING | HEADINGS | {"span", "label", "cite", "q", "abbr", "sub", "sup", "mark", "time", "button"}))
+_PARTS = "|".join(sorted(TABLE_PARTS | {"table", "script", "style", "template"}))
+_OUT = "|".join(sorted(BREAKOUT))
+# An inline element, heading or button that holds only text and void elements.
+_PLAIN = rf"(?i)<({_INLINE})(?:\s[^>]*+)?>(?:[^<]++|<(?:img|br|wbr|input)\b[^>]*+>)*+</\1\s*+>"
+# What is left then may be misnested; so may text or elements straight in a table, and HTML in svg or math.
+_MISNESTED = rf"(?i)</?(?:{_INLINE})[\s/>]"
+_IN_TABLE = (
+    r"(?i)(?:<(?:table|tbody|thead|tfoot|tr)\b[^>]*+>|</(?:td|th|tr|tbody|thead|tfoot|caption|colgroup)\s*+>)"
+    rf"\s*+(?!\z|<!--|</?(?:{_PARTS})\b)"
+)
+_IN_FOREIGN = rf"(?i)<(?:svg|math)\b[^>]*+>(?:[^<]++|<(?!/(?:svg|math)\b|(?:{_OUT})\b))*+<(?:{_OUT})\b"
+
+
+def _is_suspect(html: Column) -> Column:
+    """Can a page's tags be misnested?  Elements that hold only text are taken out, from the inside."""
+    rest = html
+    for _ in range(3):
+        rest = F.regexp_replace(rest, _PLAIN, "")
+    return rest.rlike(_MISNESTED) | html.rlike(_IN_TABLE) | html.rlike(_IN_FOREIGN)
+
+
+def _names_of(tokens: Column) -> Column:
+    """Names of tokens as new_order reads them; the plain tag, the commonest, is found first."""
+
+    def named(pair):
+        tok, head = pair["tok"], pair["head"]
+        name = F.regexp_replace(head, "^<", "")
+        unfinished = ~tok.endswith(">") & ~name.isin(*fixed.RAW_TEXT_TAGS)
+        hidden = (head == "<input") & tok.rlike("""(?i)\\stype\\s*=\\s*["']?hidden\\b""")
+        with_attributes = F.concat(
+            name, F.lit("="), F.crc32(tok.cast("binary")), F.when(tok.endswith("/>"), "/").otherwise(""))
+        return (
+            F.when((head == "") & tok.startswith("<"), "#")
+            .when(head == "", F.when(tok.rlike(r"[^ \t\n\f\r]"), "#text").otherwise("#space"))
+            .when((F.length(tok) == F.length(head) + 1) & tok.endswith(">"), name)
+            .when(unfinished, "#").when(hidden, "#hidden").otherwise(with_attributes)
+        )
+
+    def headed(tok):
+        head = F.lower(F.regexp_extract(tok, r"^</?[a-zA-Z][^\s/>]*+", 0))
+        return F.struct(tok.alias("tok"), head.alias("head"))
+
+    return F.transform(F.transform(tokens, headed), named)
+
+
+def token_order(html: Column) -> Column:
+    """New order of a page's tokens, null where they stay; null html gives null.
+
+    Only pages that a few patterns cannot clear are split into names for the pass in Python.
+    """
+    names = F.array_join(_names_of(split_tokens(html)), _BY_LINE)
+    return _orders(F.when(_is_suspect(html), names))
 
 
-def well_nested(tokens: Column) -> Column:
-    """A page's array of tokens, in the order of its tree.
+def in_order(tokens: Column, order: Column) -> Column:
+    """A page's tokens in their new order.
 
     End tags of elements that end early and copies of start tags that open them again are
-    added, end tags that end nothing are left out.  Null and empty pages stay as they are.
+    added, end tags that end nothing are left out.
     """
-    names = F.array_join(F.transform(tokens, _name_of), _BY_LINE)
-    order = _orders(F.when(F.size(tokens) > 1, names))
-
     def token(entry):
         tok, kind = F.get(tokens, F.floor(entry / 3).cast("int")), entry % 3
         return F.when(kind == END, F.concat(F.lit("</"), tag_of(tok), F.lit(">"))).otherwise(tok)

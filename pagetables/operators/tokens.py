@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.html import attributes_of, raw_content, split_tokens, tag_of
 from ..functions.text import decode_entities
-from .nesting import well_nested
+from .nesting import in_order, token_order
 
 PAGE_END = 2**31 - 1
 
@@ -37,14 +37,16 @@ def tokens(
 
     A page without any token keeps one row with a null i.  Page columns named in `keep`
     ride on the page's first row only, so they are not copied to every token.  With
-    `in_tree_order`, tokens that are misnested come in the order of the page's tree.
+    `in_tree_order`, tokens that are misnested come in the order of the page's tree; it is
+    found before pages are spread, or read from a column token_order of theirs.
     """
-    split = by_page(pages, colocated).select(
-        "page_id", *keep, split_tokens(F.col("html")).alias("tokens")
-    )
+    if in_tree_order and "token_order" not in pages.columns:
+        pages = pages.withColumn("token_order", token_order(F.col("html")))
+    pages, found = by_page(pages, colocated), split_tokens(F.col("html"))
     if in_tree_order:
-        split = split.withColumn("tokens", well_nested(F.col("tokens")))
-    split = split.select("page_id", *keep, F.posexplode_outer("tokens").alias("i", "tok"))
+        pages = pages.select("page_id", *keep, "token_order", found.alias("tokens"))
+        found = in_order(F.col("tokens"), F.col("token_order"))
+    split = pages.select("page_id", *keep, F.posexplode_outer(found).alias("i", "tok"))
     first = F.coalesce(F.col("i"), F.lit(0)) == 0
     return split.select(
         "page_id", "i", "tok",
@@ -199,6 +201,8 @@ def with_text(node_rows: DataFrame) -> DataFrame:
     )
 
 
-def tree(pages: DataFrame, colocated: bool = False, keep: tuple = ()) -> DataFrame:
-    """Tokens in tree order with subtree ends, attributes and decoded text."""
-    return with_text(with_attrs(nodes(tokens(pages, colocated, keep, in_tree_order=True))))
+def tree(
+    pages: DataFrame, colocated: bool = False, keep: tuple = (), in_tree_order: bool = False,
+) -> DataFrame:
+    """Tokens with subtree ends, attributes and decoded text."""
+    return with_text(with_attrs(nodes(tokens(pages, colocated, keep, in_tree_order))))

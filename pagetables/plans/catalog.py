@@ -187,6 +187,14 @@ def url_repair(spark, sf):
     return raw.select("page_id", "raw", repair_url("raw", "url").alias("repaired"))
 
 
+def misnested_html(spark, sf):
+    """Pages of six kinds of misnested tags around the name of a part, written out from their trees."""
+    part = de.read(spark, sf, "part")
+    pages = part.selectExpr("p_partkey AS page_id", "'u' AS url", f"{de.MISNESTED_PAGE} AS html")
+    clean = el.clean_pages(pages, ["cleaned_html", "visible_text"], rules=[], in_tree_order=True)
+    return clean.select("page_id", "cleaned_html", F.replace("visible_text", F.lit("\n"), F.lit(SEP)).alias("visible_text"))
+
+
 def host_repair(spark, sf):
     """A relative link on bases whose host is spelled as a number, in another script, or wrongly."""
     number = "(page_id * 7919 % 4294967296)"
@@ -370,6 +378,7 @@ QUERIES = {
     "price_repair": price_repair,
     "url_repair": url_repair,
     "host_repair": host_repair,
+    "misnested_html": misnested_html,
     "date_repair": date_repair,
     # required fields and JSON-LD
     "required_fields": required_rule,

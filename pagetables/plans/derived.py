@@ -53,6 +53,16 @@ PRODUCT_PAGE = {
 }
 
 
+# Small pages whose tags cross: formatting over blocks, over cells and items, text in a table.
+MISNESTED_PAGE = f"""'<body>' || CASE p_partkey % 6
+    WHEN 0 THEN '<b>a<p>' || p_name || '</b>c</p>'
+    WHEN 1 THEN '<p>1<b>2<i>' || p_name || '</b>4</i>5</p>'
+    WHEN 2 THEN '<table>' || p_name || '<tr><td>' || {_K} || '</table>z'
+    WHEN 3 THEN '<ul><li><em>' || p_name || '<li>' || {_K} || '</em></ul>'
+    WHEN 4 THEN '<a href="/' || {_K} || '"><div></a>' || p_name || '</div>'
+    ELSE '<table><b><tr><td>' || p_name || '</td></tr>y</table>' || {_K} END || '</body>'"""
+
+
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     return part.selectExpr(*[f"{sql} AS {name}" for name, sql in PRODUCT_PAGE.items()])

@@ -47,7 +47,7 @@ def trees(spark):
     pages = spark.createDataFrame(
         [(n, "u", f"<body>{html}</body>") for n, html in enumerate(GOLDEN)],
         "page_id long, url string, html string")
-    rows = clean_pages(pages, ["cleaned_html", "original_length"], rules=[]).collect()
+    rows = clean_pages(pages, ["cleaned_html", "original_length"], rules=[], in_tree_order=True).collect()
     return {list(GOLDEN)[r.page_id]: r for r in rows}
 
 
@@ -57,9 +57,12 @@ def test_tree_of_the_standard(trees, html):
     assert trees[html].original_length == len(f"<body>{html}</body>")
 
 
-def test_element_tables_follow_the_tree(clean):
-    row = clean({"p": "<body><h2>a<b>b</h2>c</b><table>x<tr><td>1<td><i>2</table>"
-                      "<ul><li><em>d<li>e</em></ul></body>"})["p"]
+def test_element_tables_follow_the_tree(spark):
+    html = ("<body><h2>a<b>b</h2>c</b><table>x<tr><td>1<td><i>2</table>"
+            "<ul><li><em>d<li>e</em></ul></body>")
+    pages = spark.createDataFrame([(0, "u", html)], "page_id long, url string, html string")
+    [row] = clean_pages(pages, ["headings", "tables", "lists", "visible_text"], in_tree_order=True).collect()
+    row = row.asDict(recursive=True)
     assert row["headings"] == [{"level": 2, "text": "ab"}]
     assert row["tables"] == [{"headers": [], "rows": [["1", "2"]]}]
     assert row["lists"] == [{"type": "unordered", "items": ["d", "e"]}]
@@ -70,7 +73,7 @@ def test_null_empty_and_very_deep_pages(spark):
     deep = "<b>x<p>" * 300 + "</b>y"
     rows = [(0, "u", None), (1, "u", ""), (2, "u", "</b></table>"), (3, "u", deep), (4, "u", "<tr><caption>c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in clean_pages(pages, ["cleaned_html", "visible_text"], rules=[]).collect()}
+    got = {r.page_id: r for r in clean_pages(pages, ["cleaned_html", "visible_text"], rules=[], in_tree_order=True).collect()}
     assert [got[n].cleaned_html for n in (0, 1, 2)] == ["", "", ""]
     assert got[3].visible_text == "x\ny"
     assert len(got) == 5
