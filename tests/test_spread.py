@@ -1,9 +1,12 @@
 """Where the work of larger tables goes: rows are spread before pages and payloads are made."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagetables.operators import contracts as co
+from pagetables.operators.elements import clean_pages, headings
 from pagetables.plans import derived as de
 
 TABLES = {
@@ -26,6 +29,16 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pages_are_made_after_rows_are_spread(spark, tables, monkeypatch):
+    found = headings(clean_pages(de.product_pages(spark, tables), ["headings"], colocated=True))
+    assert len(re.findall(r"\bExchange ", plan(found))) == 1
+    assert "DOCTYPE" not in plan(found).split("Exchange ")[-1]
+    assert found.count() == 40
+    assert de.product_pages(spark, tables).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(de, "ROWS_A_PARTITION", 2)
+    assert de.product_pages(spark, tables).rdd.getNumPartitions() == 10
+
+
 def test_payloads_are_made_after_rows_are_spread(spark, tables, monkeypatch):
     rows = de.extractions(spark, tables)
     entities = co.entities(rows)
