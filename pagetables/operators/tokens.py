@@ -17,6 +17,19 @@ from .nesting import in_order, token_order
 PAGE_END = 2**31 - 1
 
 
+#: HTML in a partition of spread_by_size.
+BYTES_A_PARTITION = 16 << 20
+
+
+def spread_by_size(pages: DataFrame) -> DataFrame:
+    """Spread pages by page_id over shuffle partitions, or over more if there is more HTML than
+    these should hold, so that what a task sorts does not grow with the table. Reads the pages once for
+    their size; clean the result with colocated=True."""
+    size = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(max(partitions, -(-size // BYTES_A_PARTITION)), "page_id")
+
+
 def by_page(pages: DataFrame, colocated: bool = False) -> DataFrame:
     """Spread pages over the cluster by page_id, before they are split into tokens.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators.documents import document
 from ..operators.elements import DOCUMENT_COLUMNS, clean_pages
 from ..operators.quality import quality_metrics
+from ..operators.tokens import spread_by_size
 from ..operators.validate import (
     gate_status, gate_urls, outcome_code, page_outcomes, page_validation,
 )
@@ -18,7 +19,7 @@ TIMED_PAGE_SCHEMA = f"{PAGE_SCHEMA}, fetched timestamp"
 RESULT_SCHEMA = f"{EXTRACTION_SCHEMA}, made timestamp"
 
 
-def process(pages: DataFrame, extractions: DataFrame | None = None) -> DataFrame:
+def process(pages: DataFrame, extractions: DataFrame | None = None, colocated: bool = False) -> DataFrame:
     """One row per page: text, document, and with extraction results outcome and quality.
 
     Pages that a gate refuses are not cleaned. With extraction results they come with their
@@ -27,7 +28,7 @@ def process(pages: DataFrame, extractions: DataFrame | None = None) -> DataFrame
     gated = gate_urls(pages)
     if "status" in pages.columns:
         gated = gated.where("reason IS NULL").transform(gate_status)
-    clean = clean_pages(gated.where("reason IS NULL").drop("reason"), DOCUMENT_COLUMNS)
+    clean = clean_pages(gated.where("reason IS NULL").drop("reason"), DOCUMENT_COLUMNS, colocated=colocated)
     result = clean.select("page_id", "visible_text", document().alias("document"))
     if extractions is None:
         return result
@@ -64,7 +65,7 @@ def stream_pages(
     within a batch, see `newest`. Results that come after their page: see `stream_outcomes`.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = process(newest(batch, version), extractions)
+        done = process(newest(spread_by_size(batch), version), extractions, colocated=True)
         store.upsert(spark, out, done, batch=batch_id, buckets=buckets)
 
     arriving = (

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagetables.operators import contracts as co
+from pagetables.operators import contracts as co, tokens as tk
 from pagetables.operators.elements import clean_pages, headings
 from pagetables.plans import derived as de
 
@@ -55,3 +55,11 @@ def test_entities_of_empty_and_missing_lists(spark):
     payloads = ['{"schemas":[]}', '{"schemas":1}', None, '{"schemas":[{"@type":"A"},{"@type":"B"}]}', '{"schemas":[null]}']
     rows = spark.createDataFrame(list(enumerate(payloads)), "page_id long, payload string").withColumn("page_url", F.lit("u"))
     assert sorted((r.page_id, r.idx, r.type) for r in co.entities(rows).collect()) == [(3, 0, "A"), (3, 1, "B"), (4, 0, None)]
+
+
+def test_partitions_grow_with_the_html(spark, monkeypatch):
+    pages = spark.range(20).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 50) AS html")
+    assert tk.spread_by_size(pages).rdd.getNumPartitions() == 4
+    assert tk.spread_by_size(pages.limit(0)).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(tk, "BYTES_A_PARTITION", 100)
+    assert tk.spread_by_size(pages).rdd.getNumPartitions() == 10
