@@ -35,7 +35,7 @@ def test_pages_are_made_after_rows_are_spread(spark, tables, monkeypatch):
     assert "DOCTYPE" not in plan(found).split("Exchange ")[-1]
     assert found.count() == 40
     assert de.product_pages(spark, tables).rdd.getNumPartitions() == 4
-    monkeypatch.setattr(de, "ROWS_A_PARTITION", 2)
+    monkeypatch.setattr(de, "PAGES_A_PARTITION", 2)
     assert de.product_pages(spark, tables).rdd.getNumPartitions() == 10
 
 
@@ -47,7 +47,7 @@ def test_payloads_are_made_after_rows_are_spread(spark, tables, monkeypatch):
     assert "Exchange" not in below
     assert rows.count() == 80
     assert entities.groupBy().agg(F.count("*")).first()[0] == 20 * (2 + 5 + 3 + 2)
-    monkeypatch.setattr(de, "ROWS_A_PARTITION", 2)
+    monkeypatch.setattr(de, "PAYLOADS_A_PARTITION", 2)
     assert de.extractions(spark, tables).rdd.getNumPartitions() == 40
 
 
