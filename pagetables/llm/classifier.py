@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm import numtext as nt
-from pagetables.llm.common import cut, only
+from pagetables.llm.common import cut, only, released
 
 FEATURES = ("words", "upper", "symbols", "marks", "bars", "digits", "same_word", "repeated", "word_length", "line_words")
 #: Shrinkage of a class covariance to the pooled one, then of that to a multiple of the identity.
@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, to_pooled: float = TO_POOLED, to_identity: float =
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total.ravel())], names=["label", "at", "value"])
 
     rows = labelled.filter("x IS NOT NULL AND label IN (0, 1)").select("x", F.col("label").cast("int").alias("label"))
-    sums = rows.mapInArrow(moments, "label int, at int, value double").groupBy("label", "at").agg(F.sum("value")).collect()
+    sums = rows.mapInArrow(released(moments), "label int, at int, value double").groupBy("label", "at").agg(F.sum("value")).collect()
     total = np.zeros((2, 1 + d + d * d))
     for label, at, value in sums:
         total[label, at] = value
@@ -161,7 +161,7 @@ def score_table(docs: DataFrame, labels: DataFrame, label_col: str = "quality",
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score(shared.value, x))], names=["_id", "score"])
 
-    scored = table.mapInArrow(run, f"_id {table.schema['_id'].dataType.simpleString()}, score double")
+    scored = table.mapInArrow(released(run), f"_id {table.schema['_id'].dataType.simpleString()}, score double")
     return scored.select(
         F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "score",
         F.when(F.col("score") >= cutoff, 1).otherwise(0).alias("predicted"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagetables.llm import numtext as nt
-from pagetables.llm.common import settle, ship
+from pagetables.llm.common import released, settle, ship
 from pagetables.llm.components import bloom, in_bloom, link
 
 SHINGLE = 8
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
                 part = batch.slice(at, 1000)
                 good = pa.array(jaccard(part.column(1), part.column(3)) >= threshold)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(good), part.column(2).filter(good)], names=["a", "b"])
-    return pairs.select("key", "text", "other", "other_text").mapInArrow(run, "a long, b long")
+    return pairs.select("key", "text", "other", "other_text").mapInArrow(released(run), "a long, b long")
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -180,7 +180,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
                     [ids, pa.array(number.astype(np.int32)), pa.array(keys.view(np.int64)), nt.lists(bands.ravel().view(np.int64), counts, pa.int64())],
                     names=["id", "line", "key", "bands"])
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, line int, key long, bands array<long>")
+    return source.mapInArrow(released(run), f"id {source.schema['id'].dataType.simpleString()}, line int, key long, bands array<long>")
 
 
 def line_texts(docs: DataFrame, id_col: str, text_col: str, min_chars: int, firsts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def line_texts(docs: DataFrame, id_col: str, text_col: str, min_chars: int, firs
                      pa.array([raw[a:b].decode() for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)], pa.string())],
                     names=["id", "line", "key", "text"])
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    lines = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, line int, key long, text string")
+    lines = source.mapInArrow(released(run), f"id {source.schema['id'].dataType.simpleString()}, line int, key long, text string")
     same = (lines["key"] == wanted["key"]) & (lines["line"] == wanted["line"]) & lines["id"].eqNullSafe(wanted["id"])
     return lines.join(wanted, same, "left_semi").dropDuplicates(["key", "line", "id"]).select("key", "text")
 
