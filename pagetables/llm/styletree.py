@@ -259,14 +259,14 @@ def node_importance(counts: DataFrame, weight: float = LAYOUT_WEIGHT) -> DataFra
     Layout: the entropy of the child sequences, against the pages of the node. importance =
     weight * layout + (1 - weight) * content, from 0 (the same everywhere) to 1.
     """
-    layout = counts.filter("kind = 'layout'").groupBy("host", "path").agg(
-        F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     # each page has a node's layout at least once; sum c over its layouts is the size of the node
-    text = counts.filter("kind = 'text'").groupBy("host", "path").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("tlogt"))
+    is_layout, c = F.col("kind") == "layout", F.col("c")
+    # both kinds in one aggregate: two would read the pages twice
+    sums = counts.groupBy("host", "path").agg(
+        F.sum(F.when(is_layout, c)).alias("m"), F.sum(F.when(is_layout, c * F.log("c"))).alias("clogc"),
+        F.sum(F.when(~is_layout, c)).alias("n"), F.sum(F.when(~is_layout, c * F.log("c"))).alias("tlogt"))
     log_m = F.log(F.greatest("m", F.lit(2)))
-    joined = layout.join(text, ["host", "path"])
-    return joined.select(
+    return sums.filter("m IS NOT NULL AND n IS NOT NULL").select(
         "host", "path", "m",
         (F.lit(weight) * (1 - F.col("clogc") / F.col("m") / log_m)
          + (1 - weight) * (1 - F.least(F.col("tlogt") / F.col("n") / log_m, F.lit(1.0)))).alias("importance"))

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from pagetables.llm import styletree as tree
@@ -66,3 +68,18 @@ def test_frame_words_do_not_take_the_main_text(page):
 
 def test_a_page_cut_off_in_attributes_is_read_in_linear_time():
     assert tree.read_page("<p>x</p><a " + "b c=d " * 20_000).blocks[0].text == "x"
+
+
+def test_features_are_worked_out_once(spark):
+    pages = spark.createDataFrame(shop(20), PAGES)
+    plan = tree.node_importance(tree.node_counts(pages))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("MapInArrow") == 1
+
+
+def test_nodes_without_text_are_not_judged(spark):
+    counts = spark.createDataFrame(
+        [("h", ">ul", "layout", 1, 3), ("h", ">div", "layout", 2, 2), ("h", ">div", "layout", 3, 2),
+         ("h", ">div", "text", 4, 4), ("h", "", "text", 5, 4)],
+        "host string, path string, kind string, feature long, c long")
+    row, = tree.node_importance(counts).collect()
+    assert (row.path, row.m) == (">div", 4) and row.importance == pytest.approx(0.1 * (1 - 4 * math.log(2) / 4 / math.log(4)))
