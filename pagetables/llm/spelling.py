@@ -275,28 +275,31 @@ def near_words(words: DataFrame, min_chars: int = MIN_CHARS, prune: int = PRUNE)
 
     A list holds the words with one gram at one place. A gram is short only where it is rare, and a gram of all but
     two or three of a word's characters leaves few words; so lists stay short, and only verified pairs leave the join.
+    Both sides are spread by key, and once: Spark judges lists by the size of the words, some fortieth of their own, and would
+    broadcast them. Both sides read the same columns, so that they share the Exchange.
     """
     if min_chars < 4:
         raise ValueError("a word of fewer than four characters may have no gram that an edit leaves")
     spark = words.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_grams(words, prune))
     lists = postings(words, frequent, min_chars)
-    right = lists.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"))
-    apart = F.abs(F.col("size") - F.col("other_size"))
-    like = ((apart == 1) | (apart == 0) & ~F.col("behind")) & (F.col("word") < F.col("other"))
-    near = lists.join(right, "key").filter(like & (F.levenshtein("word", "other", 1) == 1))
-    return near.select("word", "n", "other", "other_n").distinct()
+    a, b = lists.alias("a").hint("merge"), lists.alias("b")
+    apart = F.abs(F.col("a.size") - F.col("b.size"))
+    like = ((apart == 1) | (apart == 0) & ~F.col("a.behind") & ~F.col("b.behind")) & (F.col("a.word") < F.col("b.word"))
+    near = a.join(b, F.col("a.key") == F.col("b.key")).filter(like & (F.levenshtein("a.word", "b.word", 1) == 1))
+    return near.select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n")).distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
     """word and root of the words that have a form: pointers are doubled until each ends at a word without one.
 
     A form has several times the occurrences of its word, so a chain has no circle and at most log(n) steps.
+    Tables of words take some eight times their files' room in memory, so joins of them are not left to be broadcast.
     """
     links = settle(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        doubled = settle(links.join(ahead, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
+        doubled = settle(links.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
         links = doubled.select("word", "root")
         if doubled.filter("moved").isEmpty():
             return links
@@ -322,5 +325,5 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = settle(best.select(
         "word", "n_near", F.when(is_form, F.col("best.other")).alias("form"), F.when(is_form, -F.col("best.col1")).alias("form_n")))
     roots = _roots(found.filter("form IS NOT NULL"))
-    return words.join(found, "word", "left").join(roots, "word", "left").select(
+    return words.join(found.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")

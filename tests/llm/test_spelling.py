@@ -116,3 +116,13 @@ def test_pruned_dictionary_loses_no_pair(spark):
     for prune in (1, 1000):
         got = [(r.word, r.other) for r in spelling.near_words(words, prune=prune).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_lists_are_spread_and_not_broadcast(spark, tmp_path):
+    # the lists take some forty times the room of the words, by which Spark judges their size
+    rows = [(f"{a}{b}stem{c}", 1) for a in "abcdef" for b in "abcdef" for c in "abcdef"]
+    spark.createDataFrame(rows, "word string, n long").coalesce(1).write.parquet(f"{tmp_path}/words")
+    near = spelling.near_words(spark.read.parquet(f"{tmp_path}/words"))
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert near.count() == 3 * 6 * 6 * 15
